@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from nearfield.llm.ngram_join import op2_ngram_join
 from nearfield.llm.packing import op3_best_fit_packing
 from nearfield.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op10_token_files": op10_token_files,
 }
