@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from nearfield.llm.ngram_join import op2_ngram_join
 from nearfield.llm.packing import op3_best_fit_packing
+from nearfield.llm.pii import op9_personal_data
+from nearfield.llm.secret_scan import op6_secret_scan
 from nearfield.llm.token_files import op10_token_files
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
 }
 
