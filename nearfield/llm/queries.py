@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from nearfield.llm.merkle import op7_merkle_fingerprint
 from nearfield.llm.ngram_join import op2_ngram_join
 from nearfield.llm.packing import op3_best_fit_packing
 from nearfield.llm.pii import op9_personal_data
+from nearfield.llm.quality_rules import op8_quality_rules
 from nearfield.llm.secret_scan import op6_secret_scan
 from nearfield.llm.token_files import op10_token_files
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_merkle_fingerprint": op7_merkle_fingerprint,
+    "op8_quality_rules": op8_quality_rules,
     "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
 }
