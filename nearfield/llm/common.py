@@ -58,3 +58,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, of which nulls equal each other; the keys of ``left`` stay."""
+    for k in keys:
+        right = right.withColumnRenamed(k, f"__right_{k}")
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    return left.join(right, test, how).drop(*[f"__right_{k}" for k in keys])
