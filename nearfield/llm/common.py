@@ -1,55 +1,13 @@
-"""What several operators share: tables in the cluster's shared folder, and small column helpers."""
+"""What several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.sources.shared import Scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` where the session sets it. Only where it is unset, as in
-    tests on one machine, a folder of this application under the temp folder serves.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfield-{spark.sparkContext.applicationId}"
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
-class Scratch:
-    """Tables and folders in the shared folder, which outlive a lost executor and cut lineage.
-
-    They are deleted when the driver's JVM ends, or earlier by :meth:`drop`.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/nearfield-{uuid.uuid4().hex[:16]}"
-
-    def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def folder(self, name: str) -> str:
-        """Make an empty folder and return its URI."""
-        path, fs = self._path(name)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path.getParent())
-        return f"{self.base}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it back."""
-        path, fs = self._path(name)
-        fs.deleteOnExit(path.getParent())
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
-
-    def drop(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
+__all__ = ["Scratch", "documents", "null_safe_join", "shared_dir", "text_or_empty"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
