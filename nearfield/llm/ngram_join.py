@@ -16,8 +16,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import Scratch, documents
@@ -25,8 +26,10 @@ from nearfield.llm.components import connected_components
 
 #: Slots of the table of frequent n-grams: one byte each, whatever the input's size.
 SLOTS = 1 << 20
-#: N-grams met fewer times in prefixes rank as rare.
+#: N-grams of fewer documents rank as rare.
 FREQUENT = 8
+#: A task packs its n-grams for counting once it has this many.
+PACKED = 4_000_000
 #: Of a set's n-grams a fragment holds those of one kind (rare or frequent) and one range of hashes.
 RANGES = 4
 
@@ -64,53 +67,98 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of each document its set's size and key, and the n-grams that a plain order by hash puts in its prefix."""
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> 24) & (SLOTS - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, keys, heads = [], [], []
-            for grams in shingle_sets(batch.column(1).to_pylist(), words):
-                n.append(len(grams))
-                keys.append(_key(grams))
-                heads.append(grams[: _prefix(len(grams), percent)] if len(grams) else grams)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "head": pa.array(heads, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, head array<long>")
+def _packed(docs: DataFrame, words: int, ranges: int) -> DataFrame:
+    """``range, packed``: the first 40 bits of all n-grams, sorted, as differences in byte planes, some millions at a time."""
+    shift = np.uint64(40 - ranges.bit_length() + 1)
+
+    def pack(grams: list[np.ndarray]) -> pa.RecordBatch:
+        import zstandard
 
+        tops = np.sort(np.concatenate(grams).view(np.uint64) >> np.uint64(24))
+        cuts = np.searchsorted(tops >> shift, np.arange(ranges + 1, dtype=np.uint64))
+        code, rows = zstandard.ZstdCompressor(level=1), []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = tops[cuts[k] : cuts[k + 1]]
+            steps = np.diff(own, prepend=np.uint64(k) << shift).view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append((k, code.compress(steps.T.tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "packed"])
 
-def _levels(heads: DataFrame) -> bytes:
-    """For each slot the binary logarithm of its most frequent n-gram's count, 0 if none is frequent. A fixed size goes to the driver."""
-    counts = heads.select(F.explode("head").alias("gram")).groupBy("gram").count().filter(F.col("count") >= FREQUENT)
-    slots = counts.groupBy(F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.floor(F.log2(F.max("count"))).cast("int").alias("level"))
-    found = slots.toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for grams in shingle_sets(batch.column(1).to_pylist(), words):
+                held.append(grams)
+                n += len(grams)
+            if n > PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return docs.mapInArrow(run, "range int, packed binary")
+
+
+def _levels(docs: DataFrame, words: int) -> bytes:
+    """For each slot the binary logarithm of its most frequent n-gram's count over all documents, 0 if none is frequent. A fixed size goes to the driver."""
+    ranges = min(1 << 14, 1 << max(8, (4 * docs.rdd.getNumPartitions()).bit_length()))
+    shift = np.uint64(40 - ranges.bit_length() + 1)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        code, tops = zstandard.ZstdDecompressor(), []
+        for k, packed in zip(pdf["range"], pdf["packed"], strict=True):
+            planes = np.frombuffer(code.decompress(packed), np.uint8).reshape(5, -1)
+            steps = np.zeros((planes.shape[1], 8), np.uint8)
+            steps[:, :5] = planes.T
+            tops.append(np.cumsum(steps.view(np.uint64).ravel()) + (np.uint64(k) << shift))
+        values, counts = np.unique(np.concatenate(tops), return_counts=True)
+        often = counts >= FREQUENT
+        slots = pd.DataFrame({"slot": (values[often] & np.uint64(SLOTS - 1)).astype(np.int32), "level": np.log2(counts[often]).astype(np.int32)})
+        return slots.groupby("slot", as_index=False).max()
+
+    found = _packed(docs, words, ranges).groupBy("range").applyInPandas(count, "slot int, level int").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
     table = np.zeros(SLOTS, np.uint8)
     table[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     return table.tobytes()
 
 
-def _entries(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
-    """``gram, key, n, reach`` of each n-gram in a document's prefix under the global order.
-
-    A partner whose first common n-gram is this one has at most ``reach`` n-grams: beyond it the
-    n-grams that remain here are too few.
-    """
+def _heads(docs: DataFrame, words: int, percent: int, levels) -> DataFrame:
+    """Of each document its set's size and key, and the n-grams of its prefix in the global order, of which the first ``rare`` are rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            n, keys, rare, heads = [], [], [], []
             for grams in shingle_sets(batch.column(1).to_pylist(), words):
-                if n := len(grams):
-                    p = _prefix(n, percent)
-                    head = grams[np.argsort(table[grams & (SLOTS - 1)], kind="stable")[:p]]
-                    reach = ((100 + percent) * (n - np.arange(p)) - percent * n) // percent
-                    for col, v in zip(out, (head, np.full(p, _key(grams)), np.full(p, n), reach), strict=True):
-                        col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "key", "n", "reach"])
+                n.append(len(grams))
+                keys.append(_key(grams))
+                level = table[_slot(grams)]
+                heads.append(grams[np.argsort(level, kind="stable")[: _prefix(len(grams), percent)]] if len(grams) else grams)
+                rare.append(int((level == 0).sum()))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.int64()), "rare": pa.array(rare, pa.int32()), "head": pa.array(heads, pa.list_(pa.int64()))})
+
+    return docs.mapInArrow(run, "doc_id long, n long, key long, rare int, head array<long>")
 
-    return docs.mapInArrow(run, "gram long, key long, n long, reach long")
+
+def _shared(heads: DataFrame, percent: int) -> DataFrame:
+    """``gram, key, n, reach`` of the prefix n-grams that different sets have.
+
+    A partner whose first common n-gram is this one has at most ``reach`` n-grams: beyond it the
+    n-grams that remain here are too few. One exchange serves all: a rare n-gram's few rows meet and
+    tell whether their sets differ; a frequent one's are dealt out and all stay.
+    """
+    each = heads.select("key", "n", "rare", F.posexplode("head").alias("at", "gram"))
+    reach = F.floor(((100 + percent) * (F.col("n") - F.col("at")) - percent * F.col("n")) / percent).cast("long")
+    each = each.select("gram", "key", "n", reach.alias("reach"), F.when(F.col("at") < F.col("rare"), F.lit(-1)).otherwise(F.pmod(F.hash("key"), F.lit(64))).alias("part"))
+    group = Window.partitionBy("gram", "part")
+    several = F.col("part").isNull() | (F.col("part") >= 0) | (F.col("least") < F.col("most"))
+    met = each.withColumn("least", F.min("key").over(group)).withColumn("most", F.max("key").over(group)).filter(several)
+    return met.select("gram", "key", "n", "reach").distinct()
 
 
 def _fragments(docs: DataFrame, words: int, levels) -> DataFrame:
@@ -123,7 +171,7 @@ def _fragments(docs: DataFrame, words: int, levels) -> DataFrame:
             for grams in shingle_sets(batch.column(1).to_pylist(), words):
                 if n := len(grams):
                     key = _key(grams)
-                    at = (table[grams & (SLOTS - 1)] > 0) * RANGES + ((grams >> 40) & (RANGES - 1))
+                    at = (table[_slot(grams)] > 0) * RANGES + ((grams >> 50) & (RANGES - 1))
                     rows += [(key, n, k, grams[at == k]) for k in np.unique(at).tolist()]
             if rows:
                 key, n, k, own = zip(*rows, strict=True)
@@ -167,21 +215,18 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = scratch.table(_sets(docs, words, percent), "sets")
+    levels = spark.sparkContext.broadcast(_levels(docs, words))
+    held = scratch.table(_heads(docs, words, percent, levels), "heads")
     sets = held.select("doc_id", "n", "key")
-    levels = spark.sparkContext.broadcast(_levels(held.select("head")))
-    entries = _entries(docs, words, percent, levels)
-    several = entries.groupBy("gram").agg(
-        F.min(F.struct("key", "n")).alias("least"), F.max(F.struct("key", "n")).alias("most"), F.max(F.struct((F.col("reach") * 1000 / F.col("n")).cast("long").alias("share"), "n", "key", "reach")).alias("pivot")
-    )
-    several = several.filter("least <> most").select("gram", "pivot")
-    shared = scratch.table(entries.join(several, "gram").distinct(), "shared")
+    shared = scratch.table(_shared(held, percent), "shared")
+    pivots = shared.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max(F.struct((F.col("reach") * 1000 / F.col("n")).cast("long").alias("share"), "n", "key", "reach")).alias("pivot"))
+    pivots = pivots.filter("least < most").select("gram", "pivot")
     fits = "key <> key2 and n <= reach2 and n2 <= reach"
-    star = shared.select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")]).filter(fits)
+    star = shared.join(pivots, "gram").select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")]).filter(fits)
     star = scratch.table(_pairs(star), "star")
     links = _linked(star, sets, docs, words, percent, levels, scratch, "star")
     comps = connected_components(links, scratch, "first")
-    member = shared.drop("pivot").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    member = shared.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     member = scratch.table(member, "member")
     # Per n-gram the widest reach and the least size, each with the next that another component has: who finds no fit there is done.
     groups = member.groupBy("gram", "comp").agg(F.max("reach").alias("r"), F.min("n").alias("s"))
