@@ -4,30 +4,57 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 END_ID = 2
 #: Entries of each cache of encoded words; a full cache is emptied. It bounds a worker's memory only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 800_000
+
+
+#: Letters, then ASCII marks: under a byte-level tokenizer's word pattern the letters are one piece, with a blank before them or not, and the marks another.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!#$%&()*+,./:;<=>?@\\[\\]^_`{|}~-]*)")
+
+
+_OTHER_SPACE, _DOUBLE = re.compile(r"[^\S \n]"), ("  ", "\n\n", " \n", "\n ")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class _Words(dict):
     """Ids of a word, with what stands before it; a miss is encoded by the tokenizer."""
 
-    def __init__(self, tokenizer, before: str):
+    def __init__(self, tokenizer, before: str, marks: dict[str, bytes]):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
+        self.tokenizer, self.before, self.marks, self.letters = tokenizer, before, marks, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if (plain := _PLAIN.fullmatch(word)) is None:
+            ids = _bytes(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
+        elif plain[2]:
+            if plain[2] not in self.marks:
+                self.marks[plain[2]] = _bytes(self.tokenizer.encode(plain[2], add_special_tokens=False).ids)
+            ids = self[plain[1]] + self.marks[plain[2]]
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+        else:
+            piece = (self.before + word).encode().decode("latin-1").translate(self.letters)
+            ids = _bytes([token.id for token in self.tokenizer.model.tokenize(piece)])
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Encodes whole texts to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
@@ -44,20 +71,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_word = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind and self.tokenizer.normalizer is None
-        added = "".join("|" + re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.whole = re.compile(r"[ \n]\s|\s[ \n]|[ \n]\Z" + added)
-        self.first, self.rest = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks: dict[str, bytes] = {}
+        self.first, self.rest = _Words(self.tokenizer, "", marks), _Words(self.tokenizer, " ", marks)
         self.feed = self._encode("\n")
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_word or self.whole.search(text):
+        if not self.by_word or _OTHER_SPACE.search(text) or any(x in text for x in _DOUBLE) or text[-1] in " \n" or any(x in text for x in self.added):
             return self._encode(text)
         lines, rest = [], self.rest.__getitem__
         for line in text.split("\n"):
