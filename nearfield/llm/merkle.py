@@ -75,7 +75,7 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id")
     ranges = max(1, min(MOST_RANGES, ids.count() // RANGE_ROWS))
     borders = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20_000)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(x) for x in borders}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(x) for x in borders}) or [0.0]), float("inf")]
     last = len(splits) - 1
     cut = Bucketizer(splits=splits, inputCol="__value", outputCol="__bucket", handleInvalid="keep")
 

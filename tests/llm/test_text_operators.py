@@ -1,0 +1,163 @@
+import random
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.llm import merkle, ngram_join, pii, quality_rules, secret_scan
+from nearfield.llm.common import documents
+from nearfield.llm.spans import count_kind, joined
+
+
+def by_id(df, *cols):
+    return {r[0]: tuple(r[1:]) for r in df.select("doc_id", *cols).collect()}
+
+
+def secret_digest(df):
+    _, found = secret_scan.scan_versions(df.select(F.col("doc_id").alias("path"), "text"))
+    base = F.filter("findings", lambda s: s["order"] < 3)
+    return found.select(F.col("path").alias("doc_id"), *[count_kind(F.col("findings"), k).alias(k) for k in secret_scan.BASE_KINDS], F.sha2(joined(base, True), 256).alias("sha"))
+
+
+def personal_digest(df):
+    found = pii.find_personal(df)
+    return found.select("doc_id", *[count_kind(F.col("base"), k).alias(k) for k in pii.KINDS], F.sha2(joined(F.col("base"), False), 256).alias("sha"))
+
+
+def test_secrets_match_brute_force(docs, rows):
+    assert by_id(secret_digest(docs), "assign", "access", "hex", "sha") == {r[0]: brute.secrets(r[1]) for r in rows}
+
+
+def test_personal_data_matches_brute_force(docs, rows):
+    assert by_id(personal_digest(docs), "email", "ip", "card", "phone", "sha") == {r[0]: brute.personal(r[1]) for r in rows}
+
+
+def test_spans_of_random_texts(spark):
+    rng = random.Random(1)
+    parts = ["a", "b.", "@", "1", "23", "4111", "-", " ", ".", "+", "(", ")", "_", "%", "token", "Secret", "=", ":", '"', "AKIA", "Z9", "0af", "\n", "é", "255", "256"]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 60)))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(secret_digest(df), "assign", "access", "hex", "sha") == {d: brute.secrets(t) for d, t in rows}
+    assert by_id(personal_digest(df), "email", "ip", "card", "phone", "sha") == {d: brute.personal(t) for d, t in rows}
+
+
+def test_ledger_scans_each_blob_once(spark):
+    first = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("a", "clean"), (None, None)], "path string, text string")
+    new, found = secret_scan.scan_versions(first)
+    assert new.count() == 3 and sorted(len(r.findings) for r in found.collect()) == [0, 0, 1, 1]
+    second = spark.createDataFrame([("c", "token=abcdefgh1"), ("d", "secret: zzzzzzzz9")], "path string, text string")
+    more, found = secret_scan.scan_versions(second, new)
+    assert more.count() == 1 and all(len(r.findings) == 1 for r in found.collect())
+    again, _ = secret_scan.scan_versions(second, new, rules="other")
+    assert again.count() == 2
+
+
+def test_redaction(spark):
+    rows = [(1, "é token=abcdefgh12 and 'secret: " + "ab" * 20 + "' end", "x"), (2, None, "y"), (3, "clean", None)]
+    got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, blob string")).collect()}
+    assert got == {1: "é [secret] and '[secret]' end", 2: None, 3: "clean"}
+
+
+def test_weak_supervision_adds_spans_and_keeps_the_base():
+    counts = {(1, 1, 1): 400, (1, 1, 0): 300, (0, 0, 0): 900, (0, 1, 1): 20, (0, 0, 1): 30, (1, 0, 1): 25, (0, 1, 0): 60, (1, 0, 0): 10}
+    chance = pii.estimate(counts)
+    assert chance[1, 1, 1] > 0.95 > 0.05 > chance[0, 0, 0] and chance[0, 1, 1] > chance[0, 1, 0]
+    odds = pii.train([("phone", *v, 3, n) for v, n in counts.items()])
+    assert odds["phone:1:1:1:3"] > 0 > odds["phone:0:0:0:3"]
+    assert pii.estimate({(0, 0, 0): 1})[0, 0, 0] < 0.5 and pii.train([]) == {}
+
+
+def test_rules_match_brute_force(docs, rows):
+    got = by_id(quality_rules.apply_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == {r[0]: brute.rules(r[1]) for r in rows}
+
+
+def test_frequent_lines_are_removed(spark):
+    own = lambda k: "\n".join(f"word{k} " + " ".join(f"w{k}x{i}y{j}" for j in range(20)) + f" {i}" for i in range(4))
+    rows = [(k, f"{own(k)}\n  Shared   LINE of the host", "h") for k in range(30)]
+    rows += [(100 + k, "shared line of the host\n" * 12 + f"only {k} " + "fill " * 3, "h") for k in range(3)]
+    rows += [(200, own(200) + "\nshared line of the host", "other"), (201, own(201), None), (202, None, None)]
+    rows += [(300 + k, own(300), "h") for k in range(40)]  # exact copies are one text
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), with_text=True).collect()}
+    assert all(got[k].kept and got[k].removed_words == 5 and got[k].text == own(k) for k in range(30))
+    assert not any(got[100 + k].kept for k in range(3)) and got[200].kept and got[200].removed_words == 0
+    assert got[201].kept and not got[202].kept and all(got[300 + k].kept for k in range(40))
+
+
+def test_components_match_brute_force(docs, rows):
+    got = sorted(by_id(ngram_join.ngram_join(docs), "n_shingles", "component_id").items())
+    assert [(d, *v) for d, v in got] == brute.components([r[:2] for r in rows])
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_of_near_copies(spark, seed):
+    """A ball of near copies around one text, chains of edits, and texts that share a passage."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    base = rng.choices(words, k=80)
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(t)
+    chain = rng.choices(words, k=60)
+    for k in range(20):
+        chain = list(chain)
+        chain[rng.randrange(60)] = f"c{k}"
+        texts.append(chain)
+    passage = rng.choices(words, k=50)
+    texts += [rng.choices(words, k=rng.randint(1, 30)) + passage for _ in range(30)] + [passage[:k] for k in range(1, 50, 3)]
+    rows = [(k * 7 % 1009, " ".join(t).title() if k % 2 else " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n, percent in ((4, 85), (5, 80)):
+        got = sorted(tuple(r) for r in ngram_join.ngram_join(df, n, percent).select("doc_id", "n_shingles", "component_id").collect())
+        sets = {d: brute.shingles(t, n) for d, t in rows}
+        assert [g[:2] for g in got] == sorted((d, len(s)) for d, s in sets.items())
+        if n == 4:
+            assert got == brute.components(rows)
+
+
+def test_corpus_components(spark, corpus):
+    docs = documents(spark, corpus)
+    got = sorted(tuple(r) for r in ngram_join.op2_ngram_join(spark, corpus).collect())
+    assert got == brute.components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_fingerprints(docs, rows, spark):
+    trees = {r.doc_id: r for r in merkle.merkle_trees(docs).collect()}
+    by_text = {}
+    for d, t, *_ in rows:
+        by_text.setdefault(t or "", set()).add(trees[d].root)
+    assert all(len(v) == 1 for v in by_text.values()) and len({min(v) for v in by_text.values()}) == len(by_text)
+    pair = spark.createDataFrame([("a, b.\nc d\ne", "a, b.\nC d\ne\nf")], "x string, y string").select(*[merkle.section_hashes(merkle.paragraphs(F.col(c))).alias(c) for c in "xy"])
+    assert pair.select(merkle.differing_sections(F.col("x"), F.col("y"))).first()[0] == [1, 3]
+    parts = docs.select("text", F.array_join(F.transform(merkle.paragraphs(F.coalesce("text", F.lit(""))), lambda p: F.array_join(p, "")), "\n").alias("again"))
+    assert all((r.text or "") == r.again for r in parts.collect())
+
+
+def test_edits_match_brute_force(docs, rows, spark, tmp_path, corpus):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in merkle.op7_merkle_fingerprint(spark, str(tmp_path)).collect()}
+    assert {d: (r.n_chars, r.edited_sha256) for d, r in got.items()} == brute.edited([r[:2] for r in rows])
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
+    real = merkle.op7_merkle_fingerprint(spark, corpus).collect()
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in real} == brute.edited([tuple(r) for r in documents(spark, corpus).select("doc_id", "text").collect()])
+    assert sum(r.near_edited for r in real) / len(real) > 0.5
+
+
+def test_next_text_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 7)
+    rows = [(k * k, f"t{k}") for k in range(100)] + [(None, "n1"), (None, "n2"), (25, "t5")]
+    got = merkle.with_next_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    expected = sorted((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate([(x[0] if x[0] is not None else -1, x[1]) for x in order]))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text, r.next) for r in got) == expected
+
+
+def test_repeats_nulls_and_empty_tables(with_repeats, no_docs):
+    n = with_repeats.count()
+    for run in (secret_digest, personal_digest, quality_rules.apply_rules, ngram_join.ngram_join, merkle.merkle_trees, merkle.with_next_text):
+        assert run(with_repeats).count() == n and run(no_docs).count() == 0, run
+    linked = ngram_join.ngram_join(with_repeats).filter("n_shingles > 0").groupBy("class_key").agg(F.countDistinct("component_id").alias("n")).filter("n > 1").count()
+    assert linked == 0
