@@ -6,6 +6,7 @@ from nearfield.llm.language_id import op1_language_id
 from nearfield.llm.merkle import op7_merkle_fingerprint
 from nearfield.llm.mixing import op4_source_mixing
 from nearfield.llm.ngram_join import op2_ngram_join
+from nearfield.llm.oracles import OP2, OP6, OP7, OP8
 from nearfield.llm.packing import op3_best_fit_packing
 from nearfield.llm.pii import op9_personal_data
 from nearfield.llm.quality_model import op5_quality_resampling
@@ -26,4 +27,10 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+#: Tokenising, fitted models, seeded sampling and expectation-maximisation are beyond SQL; their tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": OP2,
+    "op6_secret_scan": OP6,
+    "op7_merkle_fingerprint": OP7,
+    "op8_quality_rules": OP8,
+}
