@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ class Collection:
     to the shared folder. Readers hold on to the version that they began with.
     """
 
-    def __init__(self, spark: SparkSession, name: str, dim: int, metric: DistanceMetric):
+    def __init__(self, spark: SparkSession, name: str, dim: int, metric: DistanceMetric, reserve: Callable[[Collection, int], None] = lambda coll, more: None):
         self.spark, self.name, self.dimensionality, self.metric = spark, name, dim, metric
-        self._scratch, self._lock = Scratch(spark), threading.RLock()
+        self._scratch, self._lock, self._reserve = Scratch(spark), threading.RLock(), reserve
+        #: Bytes of one vector, in blocks of whole 64 bytes.
+        self.block_bytes = -(-dim * 4 // 64) * 64
         self._base: DataFrame = spark.createDataFrame([], RECORD)
         self._known: int | None = 0
         self._pending: dict[str, tuple[np.ndarray, dict | None] | None] = {}
@@ -84,10 +87,12 @@ class Collection:
             writes = self._scratch.table(writes, f"staged-{self._version}")
             if bad := records.first_invalid(writes, self.dimensionality, "__order"):
                 records.raise_invalid(bad[2], bad[1], self.dimensionality)
+            self._reserve(self, writes.count())
             self._publish(records.upsert(self._base, writes, "__order"), writes.select("id"))
 
     def _write(self, rows: dict) -> None:
         with self._lock:
+            self._reserve(self, len(rows))
             for key, row in rows.items():
                 self._pending[key] = row
             self._known = None

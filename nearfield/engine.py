@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.collection import Collection
-from nearfield.errors import DeletionFailedError, InvalidDimensionalityError, InvalidNameError, NameConflictError, NotFoundError
+from nearfield.errors import AllocationFailureError, DeletionFailedError, InvalidDimensionalityError, InvalidNameError, NameConflictError, NotFoundError
 from nearfield.operators.records import storage
 from nearfield.types import MAX_DIMENSIONALITY, MAX_NAME_BYTES, CollectionInfo, parse_metric
 
@@ -17,11 +17,13 @@ class Engine:
     """Creates, finds, lists, deletes, saves and loads collections.
 
     ``deletion_fault`` may be set to a test of a name; where it holds, deletion fails and the
-    collection stays as it is.
+    collection stays as it is. ``quota`` bounds the bytes of vectors of all collections, in blocks
+    of whole 64 bytes; a write that would exceed it stores nothing. By default there is no bound.
     """
 
-    def __init__(self, spark: SparkSession | None = None):
+    def __init__(self, spark: SparkSession | None = None, quota: int | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
+        self.quota = quota
         self.deletion_fault: Callable[[str], bool] | None = None
         self._collections: dict[str, Collection] = {}
         self._lock = threading.RLock()
@@ -35,9 +37,18 @@ class Engine:
         with self._lock:
             if name in self._collections:
                 raise NameConflictError(f"collection '{name}' exists already")
-            made = self._collections[name] = Collection(self.spark, name, dim, kind)
+            made = self._collections[name] = Collection(self.spark, name, dim, kind, self._reserve)
             return made
 
+    def _reserve(self, coll: Collection, more: int) -> None:
+        """Raise unless ``more`` records of ``coll`` fit the quota beside all that is stored."""
+        if self.quota is None:
+            return
+        with self._lock:
+            used = sum(c.count() * c.block_bytes for c in self._collections.values())
+        if used + more * coll.block_bytes > self.quota:
+            raise AllocationFailureError(f"{more} records of {coll.block_bytes} bytes do not fit: {used} of {self.quota} bytes are used")
+
     def get_collection(self, name: str) -> Collection:
         with self._lock:
             if name not in self._collections:
@@ -70,6 +81,8 @@ class Engine:
         with self._lock:
             if made.name in self._collections:
                 raise NameConflictError(f"collection '{made.name}' exists already")
+            self._reserve(made, made.count())
+            made._reserve = self._reserve
             self._collections[made.name] = made
             return made
 
