@@ -44,9 +44,12 @@ def norm_squared(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """1 - cos, within 0 to 2; infinite for a zero vector or where the quotient is undefined. Squared norms may be given."""
-    na, nb = norm_squared(a) if norm_a is None else norm_a, norm_squared(b) if norm_b is None else norm_b
+    return _cosine(dot(a, b), norm_squared(a) if norm_a is None else norm_a, norm_squared(b) if norm_b is None else norm_b)
+
+
+def _cosine(raw: Column, na: Column, nb: Column) -> Column:
     scale = (F.sqrt(na).cast("float") * F.sqrt(nb).cast("float")).cast("float")
-    quotient = F.when(scale != 0, (dot(a, b) / F.when(scale != 0, scale)).cast("float"))
+    quotient = F.when(scale != 0, (raw / F.when(scale != 0, scale)).cast("float"))
     value = F.greatest(F.least((F.lit(1.0).cast("float") - quotient).cast("float"), F.lit(2.0).cast("float")), F.lit(0.0).cast("float"))
     return F.when((na == 0) | (nb == 0) | quotient.isNull() | F.isnan(quotient), _inf()).otherwise(value)
 
@@ -62,6 +65,30 @@ def distance(metric: DistanceMetric | str, a: Column, b: Column, norm_a: Column
     return F.when(F.isnan(raw), _inf()).otherwise(raw)
 
 
+#: Up to so many components a distance to one query is written out term by term, so that it runs as compiled code and not as an interpreted array function.
+WRITTEN_OUT = 128
+
+
+def _terms(a: Column, f: Callable[[Column, int], Column], n: int) -> Column:
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + f(F.get(a, F.lit(i)).cast("double"), i)
+    return total.cast("float")
+
+
+def distance_to(metric: DistanceMetric | str, a: Column, query: np.ndarray) -> Column:
+    """:func:`distance` of the column ``a`` to one query, with the same bits."""
+    metric, n, q = parse_metric(metric), len(query), query.astype(np.float64).tolist()
+    if n > WRITTEN_OUT:
+        return distance(metric, a, literal(query), norm_b=F.lit(float(np_dot(query, query))).cast("float"))
+    if metric is DistanceMetric.Euclidean:
+        return F.sqrt(_terms(a, lambda x, i: (x - q[i]) * (x - q[i]), n)).cast("float")
+    raw = _terms(a, lambda x, i: x * q[i], n)
+    if metric is DistanceMetric.Cosine:
+        return _cosine(raw, _terms(a, lambda x, i: x * x, n), F.lit(float(np_dot(query, query))).cast("float"))
+    return F.when(F.isnan(raw), _inf()).otherwise(raw)
+
+
 def first_non_finite(vector: Column) -> Column:
     """Place from 0 of the first component that is null, NaN or infinite; -1 if none is."""
     bad = F.transform(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == _inf()))

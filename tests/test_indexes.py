@@ -83,7 +83,9 @@ def test_ties_go_to_the_lowest_cell():
 
 
 @pytest.mark.parametrize("metric", list(DistanceMetric))
-def test_columns_equal_numpy(spark, metric):
+def test_columns_equal_numpy(spark, metric, monkeypatch):
+    import nearfield.functions.distance as module
+
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(500, 24)).astype(np.float32), rng.normal(size=(500, 24)).astype(np.float32)
     a[0] = 0
@@ -91,6 +93,11 @@ def test_columns_equal_numpy(spark, metric):
     df = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(a, b, strict=True))], "k int, a array<float>, b array<float>")
     got = [r.d for r in df.select("k", distance(metric, F.col("a"), F.col("b")).alias("d")).orderBy("k").collect()]
     assert np.array_equal(np.array(got, np.float32), np_distance(metric, a, b))
+    for most in (128, 8):
+        monkeypatch.setattr(module, "WRITTEN_OUT", most)
+        for k in (0, 1, 2):
+            one = [r.d for r in df.select("k", module.distance_to(metric, F.col("a"), b[k]).alias("d")).orderBy("k").collect()]
+            assert np.array_equal(np.array(one, np.float32), np_distance(metric, a, b[k]))
 
 
 def test_many_queries_in_several_blocks(spark, monkeypatch):
@@ -141,3 +148,25 @@ def test_quota(spark):
     engine.delete_collection("c")
     assert engine.allocation_stats() == {}
     engine.create_collection("d", 3, "l2").insert("a", [1, 2, 3])
+
+
+@pytest.mark.parametrize("metric", list(DistanceMetric))
+@pytest.mark.parametrize("kind", ["ties", "normal", "tiny", "huge", "zero", "same"])
+def test_estimates_lose_no_neighbour(metric, kind):
+    from nearfield.operators.knn import _Best, near_pairs
+
+    rng = np.random.default_rng(8)
+    x = {"ties": rng.integers(-1, 2, (900, 3)), "normal": rng.normal(size=(900, 16)) + 5, "tiny": rng.normal(size=(900, 4)) * 1e-20, "huge": rng.normal(size=(900, 4)) * 1e30, "zero": rng.integers(0, 2, (900, 2)), "same": np.ones((900, 5))}[kind].astype(np.float32)
+    q, k = x[:40], 7
+    ids = np.array([f"r{i}" for i in range(len(x))], object)
+    best = _Best(len(q), k)
+    best.most = 400
+    for i in range(0, len(x), 100):
+        at, row, dist = near_pairs(metric, x[i : i + 100], q, k)
+        best.add(at, ids[i : i + 100][row], dist)
+    got = {}
+    for a, i, d in zip(*best.done(), strict=True):
+        got.setdefault(a, []).append((float(d), i.encode()))
+    for a in range(len(q)):
+        d = np_distance(metric, x, q[a])
+        assert sorted(got[a]) == sorted((float(v), i.encode()) for v, i in zip(d, ids, strict=True))[:k]
