@@ -67,10 +67,9 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
     Ids are cut into ranges at quantiles, and each range is sorted by itself. So that its last row
     finds its successor, the first row of the following range is put in a second time. Texts move
-    once. Nulls come last; rows with equal ids are ordered by text. Only range borders and numbers
+    once. Nulls come last; rows with equal ids are ordered by text. Only the borders of ranges
     (``MOST_RANGES`` at most) reach the driver.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     ids = docs.select("doc_id")
     ranges = max(1, min(MOST_RANGES, ids.count() // RANGE_ROWS))
@@ -86,10 +85,9 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
     rows = ranged(docs)
     tops = ranged(ids).groupBy("range").agg(F.max("doc_id").alias("doc_id"))
-    order = sorted(r[0] for r in tops.select("range").collect())
-    if not order:
-        return docs.withColumn("next", F.col("text"))
-    before = spark.createDataFrame([(r, order[k - 1]) for k, r in enumerate(order)], "range int, to int")
+    # At most MOST_RANGES + 1 rows: the range before each, and before the first the last.
+    whole = Window.orderBy("range")
+    before = tops.select("range", F.coalesce(F.lag("range").over(whole), F.max("range").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     some = rows.join(F.broadcast(tops.select("range", F.col("doc_id").alias("top"))), "range").filter(F.col("doc_id").eqNullSafe(F.col("top")))
     firsts = some.groupBy("range").agg(F.max(F.struct("doc_id", "text")).alias("first")).join(F.broadcast(before), "range")
     again = firsts.select("first.doc_id", "first.text", F.col("to").alias("range"), F.lit(True).alias("again"))

@@ -19,7 +19,7 @@ LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 #: The budget as a share of the tokens there are, and how often a document may be taken.
 BUDGET_SHARE, EPOCHS = 0.9, 4
 SEED = 4
-#: A leaf's documents are summed up in this many ranges of their order, so that no leaf is sorted in one task.
+#: A leaf's documents are summed up in this many ranges (a power of two) of their order, so that no leaf is sorted in one task.
 RANGES = 1024
 
 
@@ -104,7 +104,7 @@ def mix(
         budget = int((supply.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE)
     leaves = scratch.table(budgets(supply, float(budget), epochs, domains, langs, sources or {}), "leaves")
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
-    each = small.select(*keys, "__hash", "t", "n", epoch).withColumn("__at", F.xxhash64(F.lit(seed), "epoch", "__hash")).withColumn("__range", F.shiftrightunsigned("__at", 54).cast("int"))
+    each = small.select(*keys, "__hash", "t", "n", epoch).withColumn("__at", F.xxhash64(F.lit(seed), "epoch", "__hash")).withColumn("__range", F.shiftrightunsigned("__at", 64 - RANGES.bit_length() + 1).cast("int"))
     sums = scratch.table(each.groupBy(*keys, "epoch", "__range").agg(F.sum("t").alias("t")), "ranges")
     over = Window.partitionBy(*keys).orderBy("epoch", "__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("t").over(over), F.lit(0))).drop("t")
