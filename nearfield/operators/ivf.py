@@ -20,7 +20,7 @@ from nearfield.types import DistanceMetric
 
 ITERATIONS = 12
 #: Centroids are a model on the driver: their bytes are checked against this before a build.
-MOST_BYTES = 512 << 20
+MOST_BYTES = 64 << 20
 
 
 def effective_nlist(nlist: int, count: int) -> int:
@@ -37,11 +37,28 @@ def initial_centroids(records: DataFrame, nlist: int, seed: int) -> np.ndarray:
 
 
 def nearest_cells(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The nearest centroid of each row; of equals the lowest cell."""
+    """The nearest centroid of each row; of equals the lowest cell.
+
+    A matrix product estimates all distances, and only those within its error of the least are
+    computed exactly.
+    """
     out = np.empty(len(x), np.int64)
-    step = max(1, (1 << 22) // max(1, centroids.size))
+    b = centroids.astype(np.float64)
+    bb = (b * b).sum(axis=1)
+    step = max(1, (1 << 22) // max(1, len(centroids), centroids.shape[1]))
     for i in range(0, len(x), step):
-        out[i : i + step] = np_l2_squared(x[i : i + step, None, :], centroids[None]).argmin(axis=1)
+        some = x[i : i + step]
+        a = some.astype(np.float64)
+        with np.errstate(all="ignore"):
+            size = (a * a).sum(axis=1)[:, None] + bb
+            guess, error = size - 2 * (a @ b.T), 4e-6 * size
+            sure = size.max(initial=0) < 1e36 and size.min(initial=1) > 1e-30
+        keep = guess - error <= (guess + error).min(axis=1, keepdims=True) if sure else np.ones(guess.shape, bool)
+        row, cell = np.nonzero(keep)
+        d = np.concatenate([np_l2_squared(some[row[j : j + 65_536]], centroids[cell[j : j + 65_536]]) for j in range(0, len(row), 65_536)]) if len(row) else np.zeros(0, np.float32)
+        order = np.lexsort((cell, d, row))
+        first = order[np.searchsorted(row[order], np.arange(len(some)))]
+        out[i : i + step] = cell[first]
     return out
 
 
@@ -71,10 +88,10 @@ def _means(records: DataFrame, centroids: np.ndarray) -> np.ndarray:
 
     partial = records.select("vector").mapInArrow(run, "cell long, n long, sums array<double>")
     total = partial.select("cell", "n", F.posexplode("sums").alias("at", "s")).groupBy("cell", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    rows = total.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", "s", "n"))).alias("v")).collect()
+    got = total.toArrow()  # as many rows as the model has components
+    cell, at, s, n = (got.column(c).to_numpy() for c in ("cell", "at", "s", "n"))
     out = centroids.copy()
-    for r in rows:
-        out[r["cell"]] = np.array([c["s"] / c["n"] for c in r["v"]]).astype(np.float32)
+    out[cell, at] = (s / n).astype(np.float32)
     held.unpersist()
     return out
 

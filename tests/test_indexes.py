@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import nearfield as nf
-from nearfield.functions.distance import distance, np_distance
+from nearfield.functions.distance import distance, np_distance, np_l2_squared
 from nearfield.operators import hnsw, ivf
 from nearfield.operators.knn import knn_batch
 from nearfield.plans import planner
@@ -78,6 +78,14 @@ def test_effective_nlist(nlist, count, expected):
     assert ivf.effective_nlist(nlist, count) == expected
 
 
+@pytest.mark.parametrize("scale", [0.0, 1e-20, 1.0, 1e19])
+def test_nearest_cells_are_exact(scale):
+    rng = np.random.default_rng(6)
+    x, c = (rng.integers(-2, 3, (700, 3)) * scale).astype(np.float32), (rng.integers(-2, 3, (40, 3)) * scale).astype(np.float32)
+    d = np.stack([[np_l2_squared(a, b) for b in c] for a in x])
+    assert ivf.nearest_cells(x, c).tolist() == d.argmin(axis=1).tolist()
+
+
 def test_ties_go_to_the_lowest_cell():
     assert ivf.nearest_cells(np.zeros((1, 2), np.float32), np.array([[1, 0], [0, 1], [-1, 0]], np.float32)).tolist() == [0]
 
