@@ -57,6 +57,19 @@ def test_round_trip(spark, tmp_path, index):
     assert t.query([1, 2, 3, 4, 5], 5, nprobe=100, ef_search=100) == c.query([1, 2, 3, 4, 5], 5, nprobe=100, ef_search=100)
 
 
+def test_reading_in_parts(spark, tmp_path):
+    from nearfield.sources import snapshot
+
+    engine = nf.Engine(spark)
+    c = filled(engine, n=50)
+    engine.save("c", str(tmp_path / "c"))
+    spark.dataSource.register(snapshot.SnapshotSource)
+    df = spark.read.format("nearfield_snapshot").option("records", 7).load(str(tmp_path / "c"))
+    assert df.rdd.getNumPartitions() == 8 and df.schema == c.table().schema
+    rows = lambda t: sorted((r.id, tuple(r.vector), r.meta and sorted(r.meta.items())) for r in t.collect())
+    assert rows(df) == rows(c.table())
+
+
 def test_empty_collection_and_layout(spark, tmp_path):
     engine = nf.Engine(spark)
     engine.create_collection("naïve", 7, "l2")
