@@ -11,7 +11,6 @@ digits, and whether the word repeats the one before. Shapes behave alike for cor
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import Scratch, documents
 
 BUCKETS = 1 << 16
-SHAPES = 5 * 5 * 2
+SHAPES = 4 * 6 * 4
 PAIRS = SHAPES * SHAPES * 2
 #: About this many labelled documents at most take part in fitting the target and setting the cut.
 LABELLED = 20_000
@@ -32,39 +31,45 @@ TEMPERATURE = 0.1
 SEED = 5
 #: Counts that the two models have in common for each feature.
 PRIOR = 20.0
-REMEMBERED = 400_000
-_MARKS = re.compile(r"[#*$%&|<>]")
 
 
-def _shape(word: str) -> int:
-    case = 0 if word.islower() else 1 if word.isupper() and len(word) > 1 else 2 if word.istitle() else 3 if any(map(str.isalpha, word)) else 4
-    end = word[-1]
-    marks = 1 if _MARKS.search(word) else 2 if end in "!?" else 3 if end in ".,;:" else 0 if end.isalnum() else 4
-    return (case * 5 + marks) * 2 + any(map(str.isdigit, word))
+def _classes() -> bytes:
+    """The class of each byte: a letter (A for capitals, a for all others and for bytes beyond ASCII), digit, closing mark, shouting mark, symbol or other mark. White space stays."""
+    out = bytearray(b"-" * 256)
+    for k in range(128, 256):
+        out[k] = ord("a")
+    for chars, c in ((b"abcdefghijklmnopqrstuvwxyz", "a"), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), (b"0123456789", "0"), (b".,;:", "."), (b"!?", "!"), (b"#*$%&|<>", "#"), (b" \t\n\x0b\x0c\r", "")):
+        for k in chars:
+            out[k] = ord(c) if c else k
+    return bytes(out)
 
 
-class _Words(dict):
-    """Bucket of a word, and its shape above it."""
+CLASSES = _classes()
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh32_intdigest
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        code = (xxh32_intdigest(word) & (BUCKETS - 1)) | _shape(word) << 16
-        if len(word) <= 64:
-            self[word] = code
-        return code
+class _Shapes(dict):
+    """Shape of a word of classes: its case, its last class, and whether it has digits or symbols. There are few such words."""
 
+    def __missing__(self, word: bytes) -> int:
+        case = 3 if b"A" not in word and b"a" not in word else 1 if b"a" not in word and len(word) > 1 else 2 if word[0] == 65 else 0
+        end = b"aA0.!#".find(word[-1:])
+        shape = (case * 6 + (1 if end < 0 else 0 if end < 2 else end)) * 4 + (b"0" in word) * 2 + (b"#" in word)
+        if len(self) < 50_000 and len(word) <= 64:
+            self[word] = shape
+        return shape
 
-_words = _Words()
+
+_shapes = _Shapes()
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words, and pairs of shapes, of a whole text."""
-    words = text.split() if text else []
-    codes = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    shape = codes >> 16
+    """Buckets of the words, and pairs of shapes, of a whole text. Words end at ASCII white space."""
+    from xxhash import xxh32_intdigest
+
+    raw = text.encode() if text else b""
+    words = raw.split()
+    codes = np.fromiter(map(xxh32_intdigest, words), np.int64, len(words))
+    shape = np.fromiter(map(_shapes.__getitem__, raw.translate(CLASSES).split()), np.int64, len(words))
     pairs = (shape[:-1] * SHAPES + shape[1:]) * 2 + (codes[1:] == codes[:-1])
     return codes & (BUCKETS - 1), pairs
 
@@ -117,18 +122,19 @@ def _chosen(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _scorer(spark: SparkSession, ratio: np.ndarray):
-    held = spark.sparkContext.broadcast(ratio)
+    sent = spark.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("mean double, n long")
     def score(texts: pd.Series) -> pd.DataFrame:
-        ratio, mean, n = held.value, [], []
+        ratio, mean, n = sent.value, [], []
         for text in texts:
             words, pairs = features(text)
             n.append(len(words))
             mean.append((ratio[words].mean() + (ratio[BUCKETS + pairs].mean() if len(pairs) else 0.0)) if len(words) else None)
         return pd.DataFrame({"mean": pd.Series(mean, dtype="float64"), "n": n})
 
-    return score
+    # A deterministic function would be computed once for a filter and once more for the columns above it.
+    return score.asNondeterministic()
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
