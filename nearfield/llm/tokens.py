@@ -6,9 +6,11 @@ import os
 import re
 from array import array
 
+from nearfield.llm.recent import Recent, held
+
 END_ID = 2
-#: Entries of each cache of encoded words; a full cache is emptied. It bounds a worker's memory only.
-CACHE_ENTRIES = 800_000
+#: Words of a generation of a cache of encoded words. It bounds a worker's memory only.
+CACHE_ENTRIES = 350_000
 
 
 #: Letters, then ASCII marks: under a byte-level tokenizer's word pattern the letters are one piece, with a blank before them or not, and the marks another.
@@ -25,30 +27,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Words(dict):
+class _Words(Recent):
     """Ids of a word, with what stands before it; a miss is encoded by the tokenizer."""
 
     def __init__(self, tokenizer, before: str, marks: dict[str, bytes]):
-        super().__init__()
+        super().__init__(CACHE_ENTRIES)
         self.tokenizer, self.before, self.marks, self.letters = tokenizer, before, marks, _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
+    def make(self, word: str) -> bytes:
         if (plain := _PLAIN.fullmatch(word)) is None:
-            ids = _bytes(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
-        elif plain[2]:
+            return _bytes(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids)
+        if plain[2]:
             if plain[2] not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
                 self.marks[plain[2]] = _bytes(self.tokenizer.encode(plain[2], add_special_tokens=False).ids)
-            ids = self[plain[1]] + self.marks[plain[2]]
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-        else:
-            piece = (self.before + word).encode().decode("latin-1").translate(self.letters)
-            ids = _bytes([token.id for token in self.tokenizer.model.tokenize(piece)])
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            return self[plain[1]] + self.marks[plain[2]]
+        piece = (self.before + word).encode().decode("latin-1").translate(self.letters)
+        return _bytes([token.id for token in self.tokenizer.model.tokenize(piece)])
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -93,14 +89,9 @@ class Encoder:
         return self.feed.join(lines)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker, so that its cache serves all tasks of the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def default_tokenizer() -> str:
