@@ -138,6 +138,19 @@ def test_mixture_matches_its_budgets(spark):
         assert 0 <= r.budget - spent[key] < 30 or spent[key] == 3 * r.tokens, key
     for d, e in times:  # a later epoch begins only when the earlier is used up
         assert e == 0 or (d, e - 1) in times
+    # The prefix itself, from the same hashes.
+    order = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("e", F.explode(F.array(*map(F.lit, range(3))))).withColumn("at", F.xxhash64(F.lit(mixing.SEED), "e", "h"))
+    order = order.select("doc_id", "e", "at", "h", mixing.default_domain(F.col("source")).alias("d"), "lang", "source", mixing.default_tokens(F.col("text")).alias("t")).collect()
+    expected = set()
+    for key in leaf:
+        own = sorted((r for r in order if (r.d, r.lang, r.source) == key), key=lambda r: (r.e, (r["at"] % (1 << 64)) >> 54, r["at"], r.h))
+        total = 0
+        for r in own:
+            total += r.t
+            if total > leaf[key].budget:
+                break
+            expected.add((r.doc_id, r.e))
+    assert set(times) == expected
     again = mixing.mix(docs.repartition(2), budget=6000, epochs=3)[0]
     assert sorted((r.doc_id, r.epoch) for r in again.collect()) == sorted(times)
 
