@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.sources.shared import Scratch, shared_dir
 
-__all__ = ["Scratch", "documents", "null_safe_join", "shared_dir", "text_or_empty"]
+__all__ = ["Scratch", "bound_batches", "broadcast_if_small", "documents", "null_safe_join", "shared_dir", "text_or_empty"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,3 +26,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for k in keys:
         test = test & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
     return left.join(right, test, how).drop(*[f"__right_{k}" for k in keys])
+
+
+def broadcast_if_small(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written ``table`` of short rows, marked for broadcast if it has at most ``most`` rows; otherwise Spark joins it by exchange."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` whole texts travel to a Python worker in one batch; the session's default of 10,000 takes hundreds of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))

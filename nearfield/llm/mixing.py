@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents, null_safe_join
+from nearfield.llm.common import Scratch, broadcast_if_small, documents, null_safe_join
 
 #: Production weights. Sources not named weigh the same within their language.
 DOMAIN_WEIGHTS = {"web": 3.0, "reference": 1.0}
@@ -21,6 +21,8 @@ BUDGET_SHARE, EPOCHS = 0.9, 4
 SEED = 4
 #: A leaf's documents are summed up in this many ranges (a power of two) of their order, so that no leaf is sorted in one task.
 RANGES = 1024
+#: Up to so many leaves' ends are broadcast; those of more are joined by exchange.
+MOST_LEAVES = 100_000
 
 
 def default_domain(source: Column) -> Column:
@@ -87,45 +89,46 @@ def mix(
     the longest prefix of its seeded order whose tokens are within its budget, so the mix exceeds
     no budget and falls short of a leaf's by less than one document.
 
+    Where that prefix ends is one place for each leaf: an epoch, a range of the order, and a place
+    in it. Only that range is sorted, and the documents need no exchange to tell on which side they
+    are.
+
     ``budget`` is ``BUDGET_SHARE`` of all tokens unless given. Null languages and sources are
     leaves of their own. Documents without tokens cost nothing and are taken with those before
-    them. Rows that are equal in id and text are ordered by their number of repeats. An empty table
-    gives empty results. A column named ``epoch`` in ``docs`` is replaced.
+    them. Rows that are equal in id and text are taken or left together. An empty table gives empty
+    results. A column named ``epoch`` in ``docs`` is replaced.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     keys = ["__domain", "lang", "source"]
     n = default_tokens(F.col("text")) if tokens is None else tokens
-    rows = docs.withColumn("__domain", default_domain(F.col("source")) if domain is None else domain).withColumn("__tokens", n)
-    # An order within each leaf for each epoch: the first bits of the hash are its range.
-    hashed = rows.select(*keys, "__tokens", F.xxhash64("doc_id", "text").alias("__hash"))
-    small = scratch.table(hashed.groupBy(*keys, "__hash").agg(F.sum("__tokens").alias("t"), F.count("*").alias("n")), "tokens")
+    rows = docs.withColumn("__domain", default_domain(F.col("source")) if domain is None else domain)
+    at = F.xxhash64(F.lit(seed), "__epoch", "__hash")
+    in_range = F.shiftrightunsigned("__at", 64 - RANGES.bit_length() + 1).cast("int")
+    hashed = rows.select(*keys, n.alias("__t"), F.xxhash64("doc_id", "text").alias("__hash"))
+    small = scratch.table(hashed.groupBy(*keys, "__hash").agg(F.sum("__t").alias("t")), "tokens")
     supply = small.groupBy(*keys).agg(F.sum("t").alias("tokens")).withColumnRenamed("__domain", "domain")
     if budget is None:
         budget = int((supply.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE)
     leaves = scratch.table(budgets(supply, float(budget), epochs, domains, langs, sources or {}), "leaves")
-    epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
-    each = small.select(*keys, "__hash", "t", "n", epoch).withColumn("__at", F.xxhash64(F.lit(seed), "epoch", "__hash")).withColumn("__range", F.shiftrightunsigned("__at", 64 - RANGES.bit_length() + 1).cast("int"))
-    sums = scratch.table(each.groupBy(*keys, "epoch", "__range").agg(F.sum("t").alias("t")), "ranges")
-    over = Window.partitionBy(*keys).orderBy("epoch", "__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("t").over(over), F.lit(0))).drop("t")
     paid = leaves.select(F.col("domain").alias("__domain"), "lang", "source", "budget")
-    sums = null_safe_join(sums, paid, keys)
-    sums = scratch.table(sums.filter(F.col("base") <= F.col("budget")), "bases")
-    cols = [*keys, "epoch", "__range"]
-    open_ = null_safe_join(each, sums, cols)
-    within = Window.partitionBy(*cols).orderBy("__at", "__hash").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = open_.withColumn("__end", F.col("base") + F.sum("t").over(within))
-    # Equal rows count together; of those that straddle the budget as many are taken as it pays for.
-    one = F.when(F.col("t") > 0, F.col("t") / F.col("n")).otherwise(F.lit(1.0))
-    take = F.when(F.col("__end") <= F.col("budget"), F.col("n")).otherwise(F.floor((F.col("budget") - F.col("__end") + F.col("t")) / one))
-    chosen = chosen.withColumn("__take", take.cast("long")).filter("__take > 0").groupBy(*keys, "__hash").agg(F.collect_list(F.struct("epoch", "__take")).alias("__epochs"), F.max("n").alias("__n"))
-    chosen = scratch.table(chosen, "chosen")
-    marked = rows.withColumn("__hash", F.xxhash64("doc_id", "text"))
-    got = null_safe_join(marked, chosen, [*keys, "__hash"])
-    single = got.filter("__n = 1").withColumn("__number", F.lit(1).cast("long"))
-    repeated = got.filter("__n > 1").withColumn("__number", F.row_number().over(Window.partitionBy("__hash", *[F.coalesce(F.col(k), F.lit("")) for k in keys]).orderBy("doc_id")).cast("long"))
-    taken = single.unionByName(repeated).withColumn("__e", F.explode("__epochs")).filter("__number <= __e.__take")
-    return taken.select(*[c for c in docs.columns if c != "epoch"], F.col("__e.epoch").alias("epoch")), leaves
+    every = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    placed = small.select(*keys, "__hash", "t", every.alias("__epoch")).withColumn("__at", at).withColumn("__range", in_range)
+    sums = placed.groupBy(*keys, "__epoch", "__range").agg(F.sum("t").alias("sum"))
+    over = Window.partitionBy(*keys).orderBy("__epoch", "__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = null_safe_join(sums.withColumn("base", F.coalesce(F.sum("sum").over(over), F.lit(0))), paid, keys)
+    # The first range that a leaf cannot pay for whole, if there is one.
+    last = sums.filter("base + sum > budget").groupBy(*keys).agg(F.min(F.struct(F.col("__epoch").alias("epoch"), F.col("__range").alias("range"), "base", "budget")).alias("end"))
+    last = scratch.table(last, "ends")
+    inside = null_safe_join(placed, broadcast_if_small(last, MOST_LEAVES), keys).filter("__epoch = end.epoch and __range = end.range")
+    within = Window.partitionBy(*keys).orderBy("__at", "__hash").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("sum", F.col("end.base") + F.sum("t").over(within)).filter("sum <= end.budget")
+    cut = inside.groupBy(*keys).agg(F.max(F.struct("__at", "__hash")).alias("cut"))
+    ends = scratch.table(null_safe_join(null_safe_join(paid.select(*keys), last, keys, "left"), cut, keys, "left").select(*keys, F.col("end.epoch").alias("__end"), F.col("end.range").alias("__end_range"), F.col("cut").alias("__cut")), "cuts")
+    marked = null_safe_join(rows.withColumn("__hash", F.xxhash64("doc_id", "text")), broadcast_if_small(ends, MOST_LEAVES), keys)
+    marked = marked.withColumn("__epoch", every).withColumn("__at", at).withColumn("__range", in_range)
+    before = F.col("__end").isNull() | (F.col("__epoch") < F.col("__end"))
+    ending = (F.col("__epoch") == F.col("__end")) & ((F.col("__range") < F.col("__end_range")) | ((F.col("__range") == F.col("__end_range")) & (F.struct("__at", "__hash") <= F.col("__cut"))))
+    return marked.filter(before | ending).select(*[c for c in docs.columns if c != "epoch"], F.col("__epoch").alias("epoch")), leaves
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
