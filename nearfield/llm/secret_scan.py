@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, broadcast_if_small, documents
 from nearfield.llm.spans import contains_any, count_kind, joined, spans, tagged
 
 #: Changes whenever a rule does; findings of another version are not reused.
@@ -58,16 +58,16 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: s
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each stretch of ``text`` that findings cover replaced by ``mark``; other columns and null texts stay."""
     ledger, _ = scan_versions(docs.select(F.lit(None).cast("string").alias("path"), "text"))
-    found = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
-    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(found, "__blob", "left")
+    places = F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), places.alias("__found"))
+    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(broadcast_if_small(found, 100_000), "__blob", "left")
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         cut = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], cut, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    by_start = F.array_sort(F.transform("__found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    done = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    done = F.aggregate(F.array_sort("__found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     return rows.withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(done)).select(*docs.columns)
 
 
