@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import documents
+from nearfield.llm.common import bound_batches, documents
 
 #: The model is fitted on about this many labelled documents at most, chosen by a hash of their ids.
 SAMPLE = 10_000
@@ -130,6 +130,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     the first language by name. Null and repeated ids are rows like others; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value

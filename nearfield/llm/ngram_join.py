@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, bound_batches, broadcast_if_small, documents
 from nearfield.llm.components import connected_components
 
 #: Slots of the table of frequent n-grams: one byte each, whatever the input's size.
@@ -29,9 +29,11 @@ SLOTS = 1 << 20
 #: N-grams of fewer documents rank as rare.
 FREQUENT = 8
 #: A task packs its n-grams for counting once it has this many.
-PACKED = 4_000_000
+PACKED = 1_500_000
 #: Of a set's n-grams a fragment holds those of one kind (rare or frequent) and one range of hashes.
 RANGES = 4
+#: Up to so many candidate pairs (32 bytes each) are broadcast; more are joined by exchange.
+BROADCAST_PAIRS = 500_000
 
 
 def _multipliers(words: int) -> np.ndarray:
@@ -180,15 +182,20 @@ def _fragments(docs: DataFrame, words: int, levels) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, fragment int, grams array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, levels, scratch: Scratch, name: str) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, levels, repeated: bool, scratch: Scratch, name: str) -> DataFrame:
     """Those of ``pairs(a, na, b, nb)`` that reach the threshold: partial overlaps by fragment, summed per pair."""
+    hint = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda df: df
     ends = pairs.select(F.col("a").alias("key"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
-    chosen = sets.join(ends, ["key", "n"], "left_semi").groupBy("key", "n").agg(F.min("doc_id").alias("one")).select("one").distinct()
+    chosen = sets.join(hint(ends), ["key", "n"], "left_semi").groupBy("key", "n").agg(F.min("doc_id").alias("one")).select("one").distinct()
+    chosen = broadcast_if_small(scratch.table(chosen, f"{name}-chosen"))
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["one"]), "left_semi")
-    cut = scratch.table(_fragments(texts, words, levels).join(ends, ["key", "n"], "left_semi").dropDuplicates(["key", "n", "fragment"]), f"{name}-fragments")
+    cut = _fragments(texts, words, levels).join(hint(ends), ["key", "n"], "left_semi")
+    if repeated:  # rows of one id may bring a set twice
+        cut = cut.dropDuplicates(["key", "n", "fragment"])
+    cut = scratch.table(cut, f"{name}-fragments")
     left = cut.select(F.col("key").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("x"))
     right = cut.select(F.col("key").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("y"))
-    both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb", "fragment"])
+    both = left.join(hint(pairs), ["a", "na"]).join(right, ["b", "nb", "fragment"])
     partial = both.select("a", "na", "b", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
     total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     return scratch.table(total.filter(F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))), f"{name}-links")
@@ -214,17 +221,19 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     An empty table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(_levels(docs, words))
     held = scratch.table(_heads(docs, words, percent, levels), "heads")
     sets = held.select("doc_id", "n", "key")
+    repeated = bool(sets.groupBy("doc_id").count().filter("count > 1").limit(1).count())
     shared = scratch.table(_shared(held, percent), "shared")
     pivots = shared.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max(F.struct((F.col("reach") * 1000 / F.col("n")).cast("long").alias("share"), "n", "key", "reach")).alias("pivot"))
     pivots = pivots.filter("least < most").select("gram", "pivot")
     fits = "key <> key2 and n <= reach2 and n2 <= reach"
     star = shared.join(pivots, "gram").select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")]).filter(fits)
     star = scratch.table(_pairs(star), "star")
-    links = _linked(star, sets, docs, words, percent, levels, scratch, "star")
+    links = _linked(star, sets, docs, words, percent, levels, repeated, scratch, "star")
     comps = connected_components(links, scratch, "first")
     member = shared.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     member = scratch.table(member, "member")
@@ -240,7 +249,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     other = live.select("gram", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "reach", "comp")])
     rest = live.join(other, "gram").filter(f"comp <> comp2 and (key < key2 or key = key2 and n < n2) and {fits.replace('key <> key2', 'true')}")
     rest = scratch.table(_pairs(rest).join(star, ["a", "na", "b", "nb"], "left_anti"), "rest")
-    links = links.unionByName(_linked(rest, sets, docs, words, percent, levels, scratch, "rest"))
+    links = links.unionByName(_linked(rest, sets, docs, words, percent, levels, repeated, scratch, "rest"))
     comps = connected_components(links, scratch, "all")
     classes = sets.groupBy("key", "n").agg(F.min("doc_id").alias("first"))
     grouped = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))

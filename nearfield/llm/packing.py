@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, bound_batches, documents
 from nearfield.llm.tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -111,6 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = scratch.table(_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     level = rows.filter((F.col("place") == 0) & (F.col("fill") < capacity)).select("bin", F.col("part").cast("long").alias("node"), "fill")
     nodes = (rows.agg(F.max("part")).first()[0] or 0) + 1

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, bound_batches, documents
 
 BUCKETS = 1 << 16
 SHAPES = 4 * 6 * 4
@@ -186,6 +186,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperatu
     a cut: without good labels all rows with words are drawn. Null ids have no label.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = docs.select("doc_id", "text")
     ratio = fit(plain, labels, labelled)
     score = _scorer(spark, ratio)

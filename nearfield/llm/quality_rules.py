@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, bound_batches, documents
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -107,6 +107,7 @@ def apply_rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUME
     no rows; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    bound_batches(spark)
     rows = _with_stats(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")))
     rows = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), *(rows.columns if with_text else [c for c in rows.columns if c != "text"])), "stats")
     often = scratch.table(frequent_lines(rows, least, share), "frequent")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, documents
+from nearfield.llm.common import Scratch, bound_batches, documents
 from nearfield.llm.tokens import END_ID, default_tokenizer, encoder
 
 MANIFEST = "part int, n_docs long, n_ids long, width int"
@@ -66,6 +66,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = E
     ignored. Ids must fit 64 bits. Memory: a batch of texts and eight bytes a document of the partition.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
