@@ -235,7 +235,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     star = scratch.table(_pairs(star), "star")
     links = _linked(star, sets, docs, words, percent, levels, repeated, scratch, "star")
     comps = connected_components(links, scratch, "first")
-    member = shared.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    member = shared.join(broadcast_if_small(comps).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     member = scratch.table(member, "member")
     # Per n-gram the widest reach and the least size, each with the next that another component has: who finds no fit there is done.
     groups = member.groupBy("gram", "comp").agg(F.max("reach").alias("r"), F.min("n").alias("s"))
@@ -252,7 +252,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     links = links.unionByName(_linked(rest, sets, docs, words, percent, levels, repeated, scratch, "rest"))
     comps = connected_components(links, scratch, "all")
     classes = sets.groupBy("key", "n").agg(F.min("doc_id").alias("first"))
-    grouped = classes.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    grouped = classes.join(broadcast_if_small(comps).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = grouped.filter("n > 0").groupBy("comp").agg(F.min("first").alias("component"))
     ids = grouped.filter("n > 0").join(least, "comp").select("key", "n", "component")
     out = sets.join(ids, ["key", "n"], "left")
