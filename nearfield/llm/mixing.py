@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import Scratch, broadcast_if_small, documents, null_safe_join
 
-#: Production weights. Sources not named weigh the same within their language.
+#: Production weights. Sources not named weigh the same within their language; languages not named, null too, by their tokens.
 DOMAIN_WEIGHTS = {"web": 3.0, "reference": 1.0}
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 #: The budget as a share of the tokens there are, and how often a document may be taken.
@@ -39,7 +39,18 @@ def _weight(column: str, weights: dict[str, float]) -> Column:
     if not weights:
         return F.lit(1.0)
     pairs = [F.lit(x) for item in sorted(weights.items()) for x in item]
-    return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(0.0 if column == "lang" else 1.0))
+    return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(1.0))
+
+
+def _with_lang_weights(lang: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``lang(domain, lang, cap)`` with ``w``. Languages not named, null too, weigh by their tokens as the named ones of their domain do together; alone they share by tokens."""
+    if not weights:
+        return lang.withColumn("w", F.lit(1.0))
+    of_domain, named = Window.partitionBy("domain"), F.coalesce(F.col("lang").isin(*weights), F.lit(False))
+    tokens, weight = (F.sum(F.when(named & (F.col("__w") > 0), F.col(c))).over(of_domain) for c in ("cap", "__w"))
+    rate = F.when(tokens > 0, weight / tokens).otherwise(1.0)
+    lang = lang.withColumn("__w", _weight("lang", weights)).withColumn("__rate", rate)
+    return lang.withColumn("w", F.when(named, F.col("__w")).otherwise(F.col("cap") * F.col("__rate"))).drop("__w", "__rate")
 
 
 def fill(nodes: DataFrame, parents: list[str], node: str, capacity: str, weight: str, budget: Column, out: str) -> DataFrame:
@@ -58,8 +69,9 @@ def fill(nodes: DataFrame, parents: list[str], node: str, capacity: str, weight:
         following = over.rowsBetween(0, Window.unboundedFollowing)
         level_ = (F.col("__rest") - F.coalesce(F.sum(capacity).over(before), F.lit(0.0))) / F.sum("__w").over(following)
         nodes = nodes.withColumn("__level", level_).withColumn("__full", F.col("__ratio") <= F.col("__level"))
-        open_ = F.min(F.when(~F.col("__full"), F.struct("__ratio", "__level"))).over(Window.partitionBy(*parents, "__on"))
-        share = F.when(F.col("__full"), F.col(capacity)).otherwise(F.col("__w") * open_["__level"])
+        # The first open node's level; of nodes with equal ratios the first has the highest.
+        open_ = F.min(F.when(~F.col("__full"), F.struct("__ratio", (-F.col("__level")).alias("__below")))).over(Window.partitionBy(*parents, "__on"))
+        share = F.when(F.col("__full"), F.col(capacity)).otherwise(F.col("__w") * -open_["__below"])
         nodes = nodes.withColumn(f"{out}{level}", F.when(test, F.greatest(share, F.lit(0.0))).otherwise(0.0))
         nodes = nodes.drop("__w", "__rest", "__on", "__ratio", "__level", "__full")
     return nodes.withColumn(out, F.col(f"{out}0") + F.col(f"{out}1")).drop(f"{out}0", f"{out}1")
@@ -68,7 +80,7 @@ def fill(nodes: DataFrame, parents: list[str], node: str, capacity: str, weight:
 def budgets(supply: DataFrame, budget: float, epochs: int, domains: dict[str, float], langs: dict[str, float], sources: dict[str, float]) -> DataFrame:
     """``domain, lang, source, tokens, budget`` of each leaf, from its ``tokens``."""
     leaf = supply.withColumn("cap", F.col("tokens").cast("double") * epochs).withColumn("w", _weight("source", sources))
-    lang = leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("lang", langs))
+    lang = _with_lang_weights(leaf.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")), langs)
     domain = lang.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("w", _weight("domain", domains)).withColumn("root", F.lit(0))
     top = fill(domain, ["root"], "domain", "cap", "w", F.lit(budget), "given").select("domain", F.col("given").alias("of_domain"))
     middle = null_safe_join(lang, top, ["domain"])
@@ -94,7 +106,8 @@ def mix(
     are.
 
     ``budget`` is ``BUDGET_SHARE`` of all tokens unless given. Null languages and sources are
-    leaves of their own. Documents without tokens cost nothing and are taken with those before
+    leaves of their own. Languages that ``langs`` doesn't name, null too, weigh by their tokens, at
+    the rate of tokens to weight of their domain's named ones; a weight of 0 must be named. Documents without tokens cost nothing and are taken with those before
     them. Rows that are equal in id and text are taken or left together. An empty table gives empty
     results. A column named ``epoch`` in ``docs`` is replaced.
     """

@@ -155,6 +155,23 @@ def test_mixture_matches_its_budgets(spark):
     assert sorted((r.doc_id, r.epoch) for r in again.collect()) == sorted(times)
 
 
+def test_mixture_keeps_null_and_unnamed_languages(spark):
+    """Production weights and budget: languages without a weight of their own come in proportion to their tokens."""
+    langs = ["en"] * 4 + ["de", "fr", "es", "it", None, "xx"]
+    rows = [(k, "w " * (10 + k % 7), langs[k % 10] if k < 3000 else (None if k % 2 else "it"), "src1" if k < 1500 else "src2" if k < 3000 else "src4") for k in range(3200)]
+    rows = [(d, t, lang, "src3" if s == "src4" and d % 4 > 1 else s) for d, t, lang, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken, leaves = mixing.mix(docs)
+    size = {r.lang: r.n for r in docs.groupBy("lang").agg(F.sum(mixing.default_tokens(F.col("text"))).alias("n")).collect()}
+    got = {r.lang: r.n for r in taken.groupBy("lang").agg(F.sum(mixing.default_tokens(F.col("text"))).alias("n")).collect()}
+    assert set(got) == {"en", "de", "fr", "es", "it", None, "xx"} and all(0.5 < got[x] / size[x] < 1.5 for x in ("it", None, "xx"))
+    assert sum(got.values()) == pytest.approx(0.9 * sum(size.values()), abs=20 * leaves.count())
+    alone = mixing.mix(docs.filter("lang is null or lang = 'it'"))[0]
+    assert {r.lang for r in alone.select("lang").distinct().collect()} == {"it", None}
+    off = mixing.mix(docs, langs={"en": 1.0, "de": 0.0})[0]
+    assert off.filter("lang = 'de'").count() == 0 and off.filter("lang is null").count() > 0
+
+
 def test_mixture_of_odd_tables(docs, with_repeats, no_docs):
     assert mixing.mix(no_docs)[0].count() == 0
     every = mixing.mix(with_repeats, budget=10**9, epochs=2, domains={}, langs={})[0]
