@@ -5,7 +5,8 @@ documents can reach the threshold only if they share an n-gram among the rarest
 prefixes give candidate pairs. Of each candidate pair the overlap is counted fragment by fragment,
 and the partial counts are summed per pair.
 
-Documents with equal sets are one class. Links are wanted for components only, so the candidates of
+Documents with equal sets are one class. All links between classes, or their number for each
+document, come from comparing all candidates. Where components alone are wanted, the candidates of
 a common n-gram are first compared with one pivot, and afterwards only those that the links found so
 far leave in different components are compared with each other. A group of near copies thus costs
 comparisons in proportion to its size, and no link between different components is lost.
@@ -208,32 +209,25 @@ def _pairs(x: DataFrame) -> DataFrame:
     return x.select(*[F.when(first, F.col(p)).otherwise(F.col(q)).alias(c) for c, (p, q) in ends.items()]).distinct()
 
 
-def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """Link documents whose sets of distinct word n-grams have a Jaccard likeness of ``percent`` / 100 or more.
+def _fits(equal: str) -> str:
+    return f"{equal} and n <= reach2 and n2 <= reach"
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a text of fewer than
-    ``words`` words has its whole sequence as one n-gram. Returns a row for each row of
-    ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, class_key``, where ``component_id``
-    is the least doc_id that links reach, itself included, and equal sets share ``class_key``.
 
-    A text that is null or without words has an empty set, which links with nothing. Null ids take
-    part but are never a component's id unless it has no other. Repeated rows give repeated rows.
-    An empty table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    bound_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = spark.sparkContext.broadcast(_levels(docs, words))
-    held = scratch.table(_heads(docs, words, percent, levels), "heads")
-    sets = held.select("doc_id", "n", "key")
-    repeated = bool(sets.groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    shared = scratch.table(_shared(held, percent), "shared")
+def _all_links(shared: DataFrame, *rest) -> DataFrame:
+    """All links: every two different sets that have an n-gram of both prefixes, as far as their sizes allow, are compared."""
+    other = shared.select("gram", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "reach")])
+    every = rest[-1].table(_pairs(shared.join(other, "gram").filter(_fits("key < key2"))), "every")
+    return _linked(every, *rest, "every")
+
+
+def _connecting_links(shared: DataFrame, *rest) -> DataFrame:
+    """Links that leave the same components as all do."""
+    scratch = rest[-1]
     pivots = shared.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.max(F.struct((F.col("reach") * 1000 / F.col("n")).cast("long").alias("share"), "n", "key", "reach")).alias("pivot"))
     pivots = pivots.filter("least < most").select("gram", "pivot")
-    fits = "key <> key2 and n <= reach2 and n2 <= reach"
-    star = shared.join(pivots, "gram").select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")]).filter(fits)
+    star = shared.join(pivots, "gram").select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")]).filter(_fits("key <> key2"))
     star = scratch.table(_pairs(star), "star")
-    links = _linked(star, sets, docs, words, percent, levels, repeated, scratch, "star")
+    links = _linked(star, *rest, "star")
     comps = connected_components(links, scratch, "first")
     member = shared.join(broadcast_if_small(comps).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     member = scratch.table(member, "member")
@@ -247,16 +241,69 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     least = F.when(F.col("comp") == F.col("s1.comp"), F.col("s2")).otherwise(F.col("s1.s"))
     live = scratch.table(member.join(next_, "gram").filter((reach >= F.col("n")) & (least <= F.col("reach"))).select("gram", "key", "n", "reach", "comp"), "live")
     other = live.select("gram", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "reach", "comp")])
-    rest = live.join(other, "gram").filter(f"comp <> comp2 and (key < key2 or key = key2 and n < n2) and {fits.replace('key <> key2', 'true')}")
-    rest = scratch.table(_pairs(rest).join(star, ["a", "na", "b", "nb"], "left_anti"), "rest")
-    links = links.unionByName(_linked(rest, sets, docs, words, percent, levels, repeated, scratch, "rest"))
-    comps = connected_components(links, scratch, "all")
+    open_ = live.join(other, "gram").filter(f"comp <> comp2 and (key < key2 or key = key2 and n < n2) and {_fits('true')}")
+    open_ = scratch.table(_pairs(open_).join(star, ["a", "na", "b", "nb"], "left_anti"), "rest")
+    return links.unionByName(_linked(open_, *rest, "rest"))
+
+
+def _prepared(docs: DataFrame, words: int, percent: int) -> tuple:
+    """``shared``, and what ``_linked`` takes beside pairs and a name."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    bound_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    levels = spark.sparkContext.broadcast(_levels(docs, words))
+    held = scratch.table(_heads(docs, words, percent, levels), "heads")
+    sets = held.select("doc_id", "n", "key")
+    repeated = bool(sets.groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    shared = scratch.table(_shared(held, percent), "shared")
+    return shared, sets, docs, words, percent, levels, repeated, scratch
+
+
+def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
+    """Link documents whose sets of distinct word n-grams have a Jaccard likeness of ``percent`` / 100 or more.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased; a text of fewer than
+    ``words`` words has its whole sequence as one n-gram. Returns a row for each row of
+    ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, class_key``, where ``component_id``
+    is the least doc_id that links reach, itself included, and equal sets share ``class_key``.
+
+    With ``links`` all candidates are compared, and ``n_links`` is the number of other classes whose
+    sets are linked with the row's; its cost grows with the links that there are. ``ngram_links``
+    gives the links themselves. Without it only components are wanted, and most links in them are
+    never looked at.
+
+    A text that is null or without words has an empty set, which links with nothing. Null ids take
+    part but are never a component's id unless it has no other. Repeated rows give repeated rows.
+    An empty table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes.
+    """
+    shared, *rest = _prepared(docs, words, percent)
+    sets, scratch = rest[0], rest[-1]
+    found = (_all_links if links else _connecting_links)(shared, *rest)
+    comps = connected_components(found, scratch, "all")
     classes = sets.groupBy("key", "n").agg(F.min("doc_id").alias("first"))
     grouped = classes.join(broadcast_if_small(comps).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = grouped.filter("n > 0").groupBy("comp").agg(F.min("first").alias("component"))
     ids = grouped.filter("n > 0").join(least, "comp").select("key", "n", "component")
     out = sets.join(ids, ["key", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("key").alias("class_key"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("key").alias("class_key")]
+    if not links:
+        return out.select(*columns)
+    each = found.select(F.col("a").alias("key"), F.col("na").alias("n")).unionAll(found.select("b", "nb")).groupBy("key", "n").agg(F.count("*").alias("n_links"))
+    return out.join(each, ["key", "n"], "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def ngram_links(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """All links between classes of equal sets of ``docs(doc_id, text)``, each once: ``doc_a, n_a, doc_b, n_b, common``.
+
+    ``doc_a`` and ``doc_b`` are the least doc_ids of their classes, null if none has one; the class of the lesser key
+    comes first. ``n_a`` and ``n_b`` are the sets' sizes. Otherwise as ``ngram_join``.
+    """
+    shared, *rest = _prepared(docs, words, percent)
+    first = rest[0].groupBy("key", "n").agg(F.min("doc_id").alias("doc"))
+    found = _all_links(shared, *rest)
+    for c in "ab":
+        found = found.join(first.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("doc").alias(f"doc_{c}")), [c, f"n{c}"])
+    return found.select("doc_a", F.col("na").alias("n_a"), "doc_b", F.col("nb").alias("n_b"), "common")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,34 @@ def test_components_of_near_copies(spark, seed):
             assert got == brute.components(rows)
 
 
+def test_all_links_between_near_copies(spark):
+    """Every link of a ball of near copies, which components don't need, and of exact copies one class."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    base, texts = rng.choices(words, k=300), []
+    for k in range(40):
+        t = list(base)
+        for _ in range(k % 4):
+            t[rng.randrange(300)] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts += [texts[1], texts[1].upper(), " ".join(rng.choices(words, k=50)), "", "a b"]
+    rows = [(900 - k, t) for k, t in enumerate(texts)] + [(None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes: dict = {}
+    for d, t in rows:
+        classes.setdefault(brute.shingles(t), []).append(d)
+    linked = lambda x, y: x != y and x and y and 100 * len(x & y) >= 85 * len(x | y)
+    least = {x: min(d for d in ids if d is not None) for x, ids in classes.items()}
+    expected = {frozenset((least[x], least[y])): len(x & y) for x in classes for y in classes if linked(x, y)}
+    got = ngram_join.ngram_links(df).collect()
+    assert len(got) == len(expected) > 300 and {frozenset((r.doc_a, r.doc_b)): r.common for r in got} == expected
+    full = ngram_join.ngram_join(df, links=True)
+    counts = sorted((str(r.doc_id), r.n_links) for r in full.collect())
+    assert counts == sorted((str(d), sum(bool(linked(x, y)) for y in classes)) for x, ids in classes.items() for d in ids)
+    plain = ngram_join.ngram_join(df)
+    assert sorted(map(str, full.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_corpus_components(spark, corpus):
     docs = documents(spark, corpus)
     got = sorted(tuple(r) for r in ngram_join.op2_ngram_join(spark, corpus).collect())
