@@ -3,7 +3,7 @@
 A section is a line. Its paragraphs are its parts of at most ``WIDTH`` characters that end at marks
 of punctuation. A paragraph's hash covers its text, a section's the hashes of its paragraphs, the
 root's those of the sections. Equal roots mean equal texts; where roots differ, differing sections
-and in them differing paragraphs locate the edits.
+and in them differing paragraphs locate the edits. Sections are compared by number, paragraphs from both ends.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ def paragraphs(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda s: F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)))
 
 
+def paragraph_hashes(parts: Column) -> Column:
+    return F.transform(parts, lambda ps: F.transform(ps, lambda p: F.sha2(p, 256)))
+
+
 def section_hashes(parts: Column) -> Column:
-    return F.transform(parts, lambda ps: F.sha2(F.array_join(F.transform(ps, lambda p: F.sha2(p, 256)), ""), 256))
+    return F.transform(paragraph_hashes(parts), lambda hs: F.sha2(F.array_join(hs, ""), 256))
 
 
 def root(sections: Column) -> Column:
@@ -46,14 +50,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def merkle_trees(docs: DataFrame) -> DataFrame:
-    """``doc_id, root, sections, leaves`` of each row of ``docs(doc_id, text)``.
+    """``doc_id, root, sections, paragraphs, leaves`` of each row of ``docs(doc_id, text)``.
 
-    ``sections`` has the hash of each line. A null text counts as empty, a tree of one empty section.
+    ``sections`` has the hash of each line, ``paragraphs`` for each line those of its paragraphs, in order. A null text counts as empty, a tree of one empty section.
     Null and repeated ids are rows like others; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select("doc_id", paragraphs(text_or_empty().cast("string")).alias("__p"))
-    rows = rows.select("doc_id", section_hashes(F.col("__p")).alias("sections"), leaves(F.col("__p")).alias("leaves"))
-    return rows.select("doc_id", root(F.col("sections")).alias("root"), "sections", "leaves")
+    rows = rows.select("doc_id", section_hashes(F.col("__p")).alias("sections"), paragraph_hashes(F.col("__p")).alias("paragraphs"), leaves(F.col("__p")).alias("leaves"))
+    return rows.select("doc_id", root(F.col("sections")).alias("root"), "sections", "paragraphs", "leaves")
 
 
 def differing_sections(a: Column, b: Column) -> Column:
@@ -62,6 +66,29 @@ def differing_sections(a: Column, b: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
 
 
+def differing_paragraphs(a: Column, b: Column, parts_a: Column, parts_b: Column) -> Column:
+    """``section, place, a_end, b_end`` of each differing section, given both ``sections`` and ``paragraphs``.
+
+    Tree ``a``'s paragraphs from ``place`` to before ``a_end`` were replaced by ``b``'s from ``place`` to before ``b_end``;
+    those before and after are equal. Numbers are from 0; a section that one tree lacks has no paragraphs there.
+    """
+    none = F.array().cast("array<string>")
+
+    def place(i: Column) -> Column:
+        x, y = F.coalesce(F.get(parts_a, i), none), F.coalesce(F.get(parts_b, i), none)
+        n = F.least(F.size(x), F.size(y))
+
+        def equal(p: Column, q: Column, most: Column) -> Column:
+            same = F.zip_with(F.slice(p, F.lit(1), most), F.slice(q, F.lit(1), most), lambda u, v: u == v)
+            return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, most).cast("int")
+
+        first = equal(x, y, n)
+        last = equal(F.reverse(x), F.reverse(y), n - first)
+        return F.struct(i.alias("section"), first.alias("place"), (F.size(x) - last).alias("a_end"), (F.size(y) - last).alias("b_end"))
+
+    return F.transform(differing_sections(a, b), place)
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next`` of each row of ``docs(doc_id, text)``: the text of the row after it in descending order of doc_id, after the last the first.
 

@@ -164,6 +164,15 @@ def test_fingerprints(docs, rows, spark):
     assert all((r.text or "") == r.again for r in parts.collect())
 
 
+def test_differing_paragraphs(spark):
+    pairs = [("a, b. c; d\ne", "a, X. Y, c; d\ne"), ("same.", "same."), ("x. x. y", "x. x. x. y"), ("one\ntwo", "one"), ("a. b", "c. d"), ("", "p. q")]
+    trees = lambda k: merkle.merkle_trees(spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "doc_id long, text string"))
+    x, y = trees(0).alias("x"), trees(1).alias("y")
+    columns = [F.col(f"{t}.{c}") for c in ("sections", "paragraphs") for t in "xy"]
+    got = {r[0]: [tuple(p) for p in r[1]] for r in x.join(y, "doc_id").select("doc_id", merkle.differing_paragraphs(*columns)).collect()}
+    assert got == {0: [(0, 1, 2, 3)], 1: [], 2: [(0, 2, 2, 3)], 3: [(1, 0, 1, 0)], 4: [(0, 0, 2, 2)], 5: [(0, 0, 0, 2)]}
+
+
 def test_edits_match_brute_force(docs, rows, spark, tmp_path, corpus):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in merkle.op7_merkle_fingerprint(spark, str(tmp_path)).collect()}
