@@ -16,6 +16,8 @@ from nearfield.llm.common import documents, text_or_empty
 
 WIDTH = 64
 PARAGRAPH = rf"[^.!?,;:]{{1,{WIDTH}}}+[.!?,;:]*+|[.!?,;:]++"
+#: The greatest length that a leaf's 16 bits hold; only runs of marks can be longer than that.
+LONGEST = 65_535
 #: Documents of one range of ids, which are sorted together to find neighbours, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 2_000, 4_096
 
@@ -38,8 +40,12 @@ def root(sections: Column) -> Column:
 
 
 def leaves(parts: Column) -> Column:
-    """The distinct paragraphs as numbers: 48 bits of hash, then 16 of length, which weighs them."""
-    return F.array_distinct(F.transform(F.flatten(parts), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-65536)).bitwiseOR(F.length(p).cast("long"))))
+    """The distinct paragraphs as numbers: 48 bits of hash, then 16 of length, which weighs them. A longer paragraph has a number for each ``LONGEST`` of its characters."""
+    every = F.flatten(parts)
+    number = lambda n, *of: F.xxhash64(*of).bitwiseAND(F.lit(-65536)).bitwiseOR(n.cast("long"))
+    first = F.transform(every, lambda p: number(F.least(F.length(p), F.lit(LONGEST)), p))
+    more = F.flatten(F.transform(F.filter(every, lambda p: F.length(p) > LONGEST), lambda p: F.transform(F.sequence(F.lit(1), F.floor((F.length(p) - 1) / LONGEST).cast("int")), lambda k: number(F.least(F.length(p) - k * LONGEST, F.lit(LONGEST)), p, k))))
+    return F.array_distinct(F.when(F.exists(every, lambda p: F.length(p) > LONGEST), F.concat(first, more)).otherwise(first))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -173,6 +173,15 @@ def test_differing_paragraphs(spark):
     assert got == {0: [(0, 1, 2, 3)], 1: [], 2: [(0, 2, 2, 3)], 3: [(1, 0, 1, 0)], 4: [(0, 0, 2, 2)], 5: [(0, 0, 0, 2)]}
 
 
+def test_leaves_of_long_runs_of_marks(spark):
+    """Paragraphs of more than 65,535 characters weigh their whole length."""
+    rows = [(0, "." * 65_536, "!" * 65_536), (1, "." * 140_000, "." * 140_000), (2, "." * 140_000 + "\nab", "?" * 70_000 + "\nab"), (3, "." * 65_535, "." * 131_071)]
+    near = merkle.likeness(*[merkle.leaves(merkle.paragraphs(F.col(c))) for c in "xy"])
+    weight = F.aggregate(merkle.leaves(merkle.paragraphs(F.col("x"))), F.lit(0).cast("long"), lambda acc, y: acc + y.bitwiseAND(F.lit(65535)))
+    got = {r[0]: tuple(r[1:]) for r in spark.createDataFrame(rows, "n long, x string, y string").select("n", near, weight).collect()}
+    assert got == {0: (0.0, 65_536), 1: (1.0, 140_000), 2: (4 / 210_004, 140_002), 3: (0.0, 65_535)}
+
+
 def test_edits_match_brute_force(docs, rows, spark, tmp_path, corpus):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in merkle.op7_merkle_fingerprint(spark, str(tmp_path)).collect()}
