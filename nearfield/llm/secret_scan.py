@@ -16,31 +16,40 @@ from nearfield.llm.spans import contains_any, count_kind, joined, spans, tagged
 #: Changes whenever a rule does; findings of another version are not reused.
 RULES = "2026-1"
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+PEM = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+#: A whole private key: through the next END line unless another line of dashes comes first, else with the headers and the base64 that follow.
+_BREAK = r"(?:\s|\\[nr])"
+PEM_WHOLE = (
+    PEM + r"(?:[^-]*+(?:-(?!----)[^-]*+){0,500}+-----END [A-Z ]{0,32}PRIVATE KEY-----"
+    rf"|(?:(?:\s++[A-Za-z][A-Za-z0-9-]{{2,30}}+:[^\r\n]*+){{0,4}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+(?={_BREAK}|$)){{1,1000}}+(?:{_BREAK}++[A-Za-z0-9+/=]++(?=[\r\n]|\\[nr]|$))?+)?+)"
+)
 BASE_KINDS = ("assign", "access", "hex")
 LEDGER = "blob string, rules string, findings array<struct<order:int,start:int,end:int,kind:string>>"
 
 
-def _findings(text: Column) -> Column:
-    """Spans of all rules. The first three are the base; the others are well-known formats of keys."""
+def _findings(text: Column, whole: bool) -> Column:
+    """Spans of all rules. The first three are the base; the others are well-known formats of keys. ``pem`` spans the BEGIN line, or the ``whole`` key."""
     words = contains_any(F.lower(text), "password", "passwd", "secret", "token", "apikey", "api_key")
     assign = tagged(spans(text, ASSIGN, words), "assign", 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8)
     # A run that is too short cannot hold a longer match, so the least length may stand in the pattern.
     access = tagged(spans(text, "AKIA[A-Z0-9]{12,}+", contains_any(text, "AKIA")), "access", 1)
     hexes = tagged(spans(text, "[0-9a-f]{32,}+"), "hex", 2)
-    pem = tagged(spans(text, "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", contains_any(text, "PRIVATE KEY-----")), "pem", 3)
+    pem = tagged(spans(text, PEM_WHOLE if whole else PEM, contains_any(text, "PRIVATE KEY-----")), "pem", 3)
     code = tagged(spans(text, "gh[pousr]_[A-Za-z0-9]{36,}+", contains_any(text, "ghp_", "gho_", "ghu_", "ghs_", "ghr_")), "hub_token", 4)
     chat = tagged(spans(text, "xox[abprs]-[A-Za-z0-9-]{10,}+", contains_any(text, "xox")), "chat_token", 5)
     web = tagged(spans(text, "eyJ[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+", contains_any(text, "eyJ")), "web_token", 6)
     return F.concat(assign, access, hexes, pem, code, chat, web)
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scan ``versions(path, text)``, of which a path may have many, against ``ledger``.
 
     Returns the new rows of the ledger, as a written table, and ``path, blob, findings`` for each row
     of ``versions``. A null text counts as empty. Null and repeated paths and rows are kept as they
     are; equal texts are scanned once. An empty table gives empty results; other columns are ignored.
+    With ``whole`` spans of private keys cover the keys, and ``rules`` is another version.
     """
+    rules = f"{rules}-whole" if whole else rules
     spark = versions.sparkSession
     addressed = versions.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     known = None if ledger is None else ledger.filter(F.col("rules") == rules).select("blob", "rules", "findings")
@@ -48,7 +57,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: s
     if known is not None:
         blobs = blobs.join(known, "blob", "left_anti")
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    new = Scratch(spark).table(unseen.select("blob", F.lit(rules).alias("rules"), _findings(F.col("text")).alias("findings")), "ledger")
+    new = Scratch(spark).table(unseen.select("blob", F.lit(rules).alias("rules"), _findings(F.col("text"), whole).alias("findings")), "ledger")
     whole = new if known is None else known.unionByName(new)
     found = whole.filter(F.size("findings") > 0).select("blob", "findings")
     none = F.array().cast(found.schema["findings"].dataType)
@@ -56,8 +65,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: s
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each stretch of ``text`` that findings cover replaced by ``mark``; other columns and null texts stay."""
-    ledger, _ = scan_versions(docs.select(F.lit(None).cast("string").alias("path"), "text"))
+    """``docs`` with each stretch of ``text`` that findings cover replaced by ``mark``, private keys whole; other columns and null texts stay."""
+    ledger, _ = scan_versions(docs.select(F.lit(None).cast("string").alias("path"), "text"), whole=True)
     places = F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     found = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), places.alias("__found"))
     rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(broadcast_if_small(found, 100_000), "__blob", "left")
