@@ -2,7 +2,9 @@
 
 Two generative models of hashed n-grams are fitted: one of texts of the target quality, one of the
 raw corpus. A document's importance weight is the ratio of its likelihoods under them, and Gumbel
-top-k draws the documents to keep in proportion to their weights.
+top-k draws the documents to keep. Noise of scale 1 draws in proportion to their weights, of scale
+``TEMPERATURE`` to their tenth powers: with production parameters, where k is the number of weights
+above 1, the draw amounts to a threshold on the ratio, but for documents very near it.
 
 N-grams are words (hashed to ``BUCKETS``) and pairs of neighbouring word shapes: case, final marks,
 digits, and whether the word repeats the one before. Shapes behave alike for corpora of every size.
