@@ -70,7 +70,7 @@ class Engine:
             if self.deletion_fault and self.deletion_fault(name):
                 raise DeletionFailedError(f"collection '{name}' could not be deleted")
             del self._collections[name]
-            found._scratch.drop("")
+            found._scratch.drop()
 
     def allocation_stats(self) -> dict[str, int]:
         """Bytes of vectors by collection, in blocks of whole 64 bytes."""

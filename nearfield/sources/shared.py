@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -11,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` where the session sets it. Only where it is unset, as in
-    tests on one machine, a folder of this application under the temp folder serves.
+    It is ``spark.checkpoint.dir`` where the session sets it. Where it is unset and everything runs
+    in one process on one machine, a folder of this application under the temp folder serves; on a
+    cluster that is an error, since executors don't see each other's temp folders.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/nearfield-{spark.sparkContext.applicationId}"
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"file://{tempfile.gettempdir()}/nearfield-{spark.sparkContext.applicationId}"
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
@@ -46,6 +53,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def drop(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more; without names all of them."""
+        for name in names or ("",):
+            path, fs = self._path(name)
+            fs.delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished queries, which it does once their plans are garbage on the driver."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
