@@ -13,7 +13,9 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
 
     Each round gives a node the least label among its own and its neighbours', then the label of
     that label, so long chains shorten by pointer jumping. Rounds are written tables: lineage stays
-    short and nothing but a count comes to the driver. Null ends and loops are ignored.
+    short and nothing but a count comes to the driver. A hub's links meet its one label in joins of
+    plain exchanges, whose large partitions Spark splits. Null ends and loops are ignored; an empty
+    table gives no rows.
     """
     links = links.filter("a is not null and b is not null and a <> b").select("a", "b").distinct()
     edges = scratch.table(links.union(links.select("b", "a")), f"{name}-edges")
@@ -27,6 +29,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         k += 1
         step = scratch.table(step, f"{name}-{k}")
         if not step.filter("moved").limit(1).count():
+            scratch.drop(f"{name}-edges", f"{name}-{k - 1}")
             return step.select("node", F.col("next").alias("comp"))
         labels = step.select("node", F.col("next").alias("comp"))
         if k > 1:

@@ -7,6 +7,7 @@ longest known character n-grams, and then to shorter ones.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,11 +20,11 @@ from nearfield.llm.common import bound_batches, documents
 
 #: The model is fitted on about this many labelled documents at most, chosen by a hash of their ids.
 SAMPLE = 10_000
-#: Sizes of the model: most frequent words, and n-grams of all lengths together, that it keeps.
-WORDS, GRAMS = 100_000, 60_000
 LONGEST = 5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, Unicode's categories L: what ``\w`` has besides letters is digits, other numbers, and the underscore.
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: Words that a Python worker remembers the scores of.
 REMEMBERED = 300_000
 
@@ -34,69 +35,70 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, kind, gram, n``: words are kind 0, n-grams their length."""
+    """``lang, word, n`` of the words of a partition."""
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words.setdefault(lang, Counter()).update(LETTERS.findall(text.as_py().lower()))
     for lang, counts in words.items():
-        rows: list[Counter] = [counts, *(Counter() for _ in range(LONGEST))]
-        for word, n in counts.items():
-            for k in range(1, LONGEST + 1):
-                for gram in _grams(word, k):
-                    rows[k][gram] += n
-        for kind, found in enumerate(rows):
-            # One occurrence in a partition is kept too: the sum over partitions decides.
-            keys, values = list(found), list(found.values())
-            for i in range(0, len(keys), 50_000):
-                m = len(keys[i : i + 50_000])
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * m, "kind": pa.array([kind] * m, pa.int32()), "gram": keys[i : i + 50_000], "n": pa.array(values[i : i + 50_000], pa.int64())})
+        keys, values = list(counts), list(counts.values())
+        for i in range(0, len(keys), 50_000):
+            some = keys[i : i + 50_000]
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "word": some, "n": pa.array(values[i : i + 50_000], pa.int64())})
+
+
+def _word_grams(words: DataFrame) -> DataFrame:
+    """``kind, gram, lang, n`` from ``lang, word, n``: words are kind 0, n-grams their length."""
+    marked = F.concat(F.lit("<"), "word", F.lit(">"))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(marked) - k + 1), lambda i: F.struct(F.lit(k).alias("kind"), F.substr(marked, i, F.lit(k)).alias("gram")))
+    none = F.array().cast("array<struct<kind:int,gram:string>>")
+    grams = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("word").alias("gram"))), *[F.when(F.length(marked) >= k, of(k)).otherwise(none) for k in range(1, LONGEST + 1)])
+    return words.select("lang", F.explode(grams).alias("g"), "n").groupBy("g.kind", "g.gram", "lang").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Logarithmic frequencies by language of words and n-grams."""
+    """Logarithmic frequencies by language of words and n-grams: for each kind the row of ``rows`` that a word or n-gram has."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, tables
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], rows: np.ndarray):
+        self.langs, self.tables, self.rows = langs, tables, rows
 
     def score(self, word: str) -> np.ndarray:
         if (known := self.tables[0].get(word)) is not None:
-            return known
+            return self.rows[known]
         for n in range(LONGEST, 0, -1):
             table = self.tables[n]
             found = [table[g] for g in _grams(word, n) if g in table]
             if found:
-                return np.mean(found, axis=0)
+                return self.rows[found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit a model on ``labelled(doc_id, text, lang)``; rows without text or lang are left out.
 
-    Whole texts of about ``sample`` rows at most are counted, chosen by a hash of doc_id, and the
-    ``words`` and ``grams`` that occur most are kept, so what the driver holds has a fixed bound.
-    Without any labelled row the model knows no language.
+    Whole texts of about ``sample`` rows at most are counted, chosen by a hash of doc_id. Every word
+    and n-gram of theirs is kept, so what the driver holds is bounded by the sample and by nothing else.
+    The texts are read once. Without any labelled row the model knows no language.
     """
-    labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    share = min(1.0, sample / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    counts = chosen.select("lang", "text").mapInArrow(_count, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    kept = [by_gram.filter(test).orderBy(F.desc("n"), "kind", "gram").limit(most).toArrow().to_pylist() for test, most in (("kind = 0 and n > 1", words), ("kind > 0 and n > 2", grams))]
-    langs = sorted({lang for rows in kept for r in rows for lang, _ in r["by"]})
-    totals = np.ones((LONGEST + 1, len(langs)))
-    for rows in kept:
-        for r in rows:
-            for lang, n in r["by"]:
-                totals[r["kind"], langs.index(lang)] += n
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for rows in kept:
-        for r in rows:
-            n = np.full(len(langs), 0.5)
-            for lang, k in r["by"]:
-                n[langs.index(lang)] += k
-            tables[r["kind"]][r["gram"]] = np.log(n / totals[r["kind"]]).astype(np.float32)
-    return Model(langs, tables)
+    labelled = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null")
+    share = min(1.0, sample / max(1, labelled.select("doc_id", "lang").count()))
+    chosen = labelled.filter((F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)) & F.col("text").isNotNull())
+    words = chosen.select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = _word_grams(words).toArrow()
+    langs = sorted(got.column("lang").unique().to_pylist())
+    kind, n = got.column("kind").to_numpy(), got.column("n").to_numpy().astype(np.float64)
+    lang = np.searchsorted(np.array(langs, dtype=object), np.array(got.column("lang").to_pylist(), dtype=object)) if langs else np.zeros(0, np.int64)
+    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    row, size = np.zeros(len(kind), np.int64), 0
+    for i, (k, gram) in enumerate(zip(kind.tolist(), got.column("gram").to_pylist(), strict=True)):
+        at = tables[k].setdefault(gram, size)
+        row[i] = at
+        size += at == size
+    counts, kinds, totals = np.full((size, len(langs)), 0.5), np.zeros(size, np.int64), np.ones((LONGEST + 1, len(langs)))
+    np.add.at(counts, (row, lang), n)
+    kinds[row] = kind
+    np.add.at(totals, (kind, lang), n)
+    return Model(langs, tables, np.log(counts / totals[kinds]).astype(np.float32))
 
 
 class _Scores(dict):
@@ -127,7 +129,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the posterior of the best language, from the mean over the words when they are many.
     A text that is null or has no letters gives ``und`` and 0, as does a model without languages. Ties go to
-    the first language by name. Null and repeated ids are rows like others; other columns are ignored.
+    the first language by name. Null and repeated ids are rows like others; an empty table gives no rows;
+    other columns are ignored. Every word of a very long text counts, in time linear in their number.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     bound_batches(docs.sparkSession)
@@ -161,6 +164,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all ``documents``, by a model of those that aren't held out."""
     docs = documents(spark, sf_dir)
     model = fit(docs.filter(~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -1,9 +1,15 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, in DataFrame functions only.
 
-A section is a line. Its paragraphs are its parts of at most ``WIDTH`` characters that end at marks
-of punctuation. A paragraph's hash covers its text, a section's the hashes of its paragraphs, the
-root's those of the sections. Equal roots mean equal texts; where roots differ, differing sections
-and in them differing paragraphs locate the edits. Sections are compared by number, paragraphs from both ends.
+Paragraphs are the leaves: parts of at most ``WIDTH`` characters that end at marks of punctuation or
+line feeds, so that texts of one long line have them too. A section is a run of paragraphs up to one
+whose hash begins with a zero, so its borders depend on what it says and not on its place: an edit
+changes the sections that it touches, and those after it stay what they were. A paragraph's hash
+covers its text, a section's the hashes of its paragraphs, and the root those of the sections.
+
+A fingerprint is the whole tree as a string: ``root:section|section|...``, where a section is
+``hash=leaf,leaf,...`` and a leaf ``hash.length``. The root is a whole SHA-256; a section's hash is
+cut to 16 digits and a leaf's to 12. Equal roots mean equal texts. Likeness and the places of edits come
+from two fingerprints alone, by descending into the sections that only one of them has.
 """
 
 from __future__ import annotations
@@ -13,86 +19,97 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import documents, text_or_empty
+from nearfield.llm.spans import let, running_sum
 
 WIDTH = 64
-PARAGRAPH = rf"[^.!?,;:]{{1,{WIDTH}}}+[.!?,;:]*+|[.!?,;:]++"
-#: The greatest length that a leaf's 16 bits hold; only runs of marks can be longer than that.
-LONGEST = 65_535
-#: Documents of one range of ids, which are sorted together to find neighbours, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 2_000, 4_096
+PARAGRAPH = rf"[^.!?,;:\n]{{1,{WIDTH}}}+[.!?,;:\n]*+|[.!?,;:\n]++"
+#: Documents of one range of ids, which are sorted together to find neighbours, and the most ranges: their borders (8 bytes each) are what the driver holds.
+RANGE_ROWS, MOST_RANGES = 2_000, 1 << 16
 
 
 def paragraphs(text: Column) -> Column:
-    """For each section the array of its paragraphs; together they are the section's whole text."""
-    return F.transform(F.split(text, "\n", -1), lambda s: F.regexp_extract_all(s, F.lit(PARAGRAPH), F.lit(0)))
+    """The paragraphs, which together are the whole text."""
+    return F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
 
 
-def paragraph_hashes(parts: Column) -> Column:
-    return F.transform(parts, lambda ps: F.transform(ps, lambda p: F.sha2(p, 256)))
+def fingerprint(text: Column) -> Column:
+    """The tree of a text, which must not be null."""
+    leaf = lambda p: let(F.sha2(p, 256), lambda h: F.concat(h, F.lit("."), F.length(p).cast("string"), F.when(F.startswith(h, F.lit("0")), "|").otherwise(",")))
+    sections = F.filter(F.split(F.array_join(F.transform(paragraphs(text), leaf), ""), r"\|"), lambda s: s != "")
 
+    def tree(sections: Column) -> Column:
+        def rooted(hashes: Column) -> Column:
+            short = F.zip_with(hashes, sections, lambda h, s: F.concat(F.left(h, F.lit(16)), F.lit("="), F.regexp_replace(s, "([0-9a-f]{12})[0-9a-f]{52}", "$1")))
+            return F.concat(F.sha2(F.array_join(hashes, ""), 256), F.lit(":"), F.array_join(short, "|"))
 
-def section_hashes(parts: Column) -> Column:
-    return F.transform(paragraph_hashes(parts), lambda hs: F.sha2(F.array_join(hs, ""), 256))
+        return let(F.transform(sections, lambda s: F.sha2(s, 256)), rooted)
 
+    return let(sections, tree)
 
-def root(sections: Column) -> Column:
-    return F.sha2(F.array_join(sections, ""), 256)
 
+def root(tree: Column) -> Column:
+    return F.left(tree, F.lit(64))
 
-def leaves(parts: Column) -> Column:
-    """The distinct paragraphs as numbers: 48 bits of hash, then 16 of length, which weighs them. A longer paragraph has a number for each ``LONGEST`` of its characters."""
-    every = F.flatten(parts)
-    number = lambda n, *of: F.xxhash64(*of).bitwiseAND(F.lit(-65536)).bitwiseOR(n.cast("long"))
-    first = F.transform(every, lambda p: number(F.least(F.length(p), F.lit(LONGEST)), p))
-    more = F.flatten(F.transform(F.filter(every, lambda p: F.length(p) > LONGEST), lambda p: F.transform(F.sequence(F.lit(1), F.floor((F.length(p) - 1) / LONGEST).cast("int")), lambda k: number(F.least(F.length(p) - k * LONGEST, F.lit(LONGEST)), p, k))))
-    return F.array_distinct(F.when(F.exists(every, lambda p: F.length(p) > LONGEST), F.concat(first, more)).otherwise(first))
 
+def _sections(tree: Column) -> Column:
+    return F.filter(F.split(F.substr(tree, F.lit(66), F.length(tree)), r"\|"), lambda s: s != "")
 
-def likeness(a: Column, b: Column) -> Column:
-    """The characters of common paragraphs as a share of those of both trees; 1 for two empty trees."""
-    weight = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y.bitwiseAND(F.lit(65535)))
-    both = weight(a) + weight(b)
-    return F.when(both == 0, 1.0).otherwise(2.0 * weight(F.array_intersect(a, b)) / both)
 
+def _leaves(sections: Column) -> Column:
+    """The leaves of sections, in order."""
+    return F.filter(F.flatten(F.transform(sections, lambda s: F.split(F.substr(s, F.lit(18), F.length(s)), ","))), lambda x: x != "")
+
+
+def _length(leaf: Column) -> Column:
+    return F.substring_index(leaf, ".", -1).cast("int")
+
+
+def _weight(leaves: Column) -> Column:
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda n, x: n + _length(x))
 
-def merkle_trees(docs: DataFrame) -> DataFrame:
-    """``doc_id, root, sections, paragraphs, leaves`` of each row of ``docs(doc_id, text)``.
 
-    ``sections`` has the hash of each line, ``paragraphs`` for each line those of its paragraphs, in order. A null text counts as empty, a tree of one empty section.
-    Null and repeated ids are rows like others; an empty table gives no rows; other columns are ignored.
+def likeness(a: Column, b: Column) -> Column:
+    """How alike the texts of two fingerprints are: the characters of common branches as a share of those of both trees.
+
+    Equal roots give 1. Else the distinct sections of both count whole, and of the other sections the
+    distinct paragraphs are compared. Symmetric, 0 to 1.
     """
-    rows = docs.select("doc_id", paragraphs(text_or_empty().cast("string")).alias("__p"))
-    rows = rows.select("doc_id", section_hashes(F.col("__p")).alias("sections"), paragraph_hashes(F.col("__p")).alias("paragraphs"), leaves(F.col("__p")).alias("leaves"))
-    return rows.select("doc_id", root(F.col("sections")).alias("root"), "sections", "paragraphs", "leaves")
 
+    def descend(x: Column) -> Column:
+        common = F.array_intersect(x["a"], x["b"])
+        rest = let(common, lambda c: F.struct(_weight(_leaves(c)).alias("both"), F.array_distinct(_leaves(F.array_except(x["a"], c))).alias("a"), F.array_distinct(_leaves(F.array_except(x["b"], c))).alias("b")))
+        both = lambda r: 2.0 * (r["both"] + _weight(F.array_intersect(r["a"], r["b"])))
+        return let(rest, lambda r: both(r) / (2 * r["both"] + _weight(r["a"]) + _weight(r["b"])))
 
-def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections in which tree ``b`` differs from ``a``, given both ``sections``; none if the roots agree."""
-    n = F.greatest(F.size(a), F.size(b))
-    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
+    return F.when(root(a) == root(b), 1.0).otherwise(let(F.struct(_sections(a).alias("a"), _sections(b).alias("b")), descend))
 
 
-def differing_paragraphs(a: Column, b: Column, parts_a: Column, parts_b: Column) -> Column:
-    """``section, place, a_end, b_end`` of each differing section, given both ``sections`` and ``paragraphs``.
+def edits(a: Column, b: Column) -> Column:
+    """``start, end`` (code points of text ``a``) of each paragraph of ``a`` that ``b`` lacks, in order; none if the roots agree.
 
-    Tree ``a``'s paragraphs from ``place`` to before ``a_end`` were replaced by ``b``'s from ``place`` to before ``b_end``;
-    those before and after are equal. Numbers are from 0; a section that one tree lacks has no paragraphs there.
+    Only sections that ``b`` lacks are looked into. Lengths of sections and paragraphs give the places.
+    The cost is linear in the trees, and quadratic in the paragraphs of differing sections.
     """
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def descend(x: Column) -> Column:
+        def inside(y: Column) -> Column:
+            flags = F.flatten(F.transform(x["a"], lambda s: F.transform(_leaves(F.array(s)), lambda p: F.struct(_length(p).alias("n"), (F.array_contains(y["open"], s) & ~F.array_contains(y["other"], p)).alias("new")))))
+            return let(flags, lambda f: F.filter(F.zip_with(f, running_sum(F.transform(f, lambda p: p["n"])), lambda p, e: F.when(p["new"], F.struct((e - p["n"]).alias("start"), e.alias("end")))), lambda r: r.isNotNull()))
 
-    def place(i: Column) -> Column:
-        x, y = F.coalesce(F.get(parts_a, i), none), F.coalesce(F.get(parts_b, i), none)
-        n = F.least(F.size(x), F.size(y))
+        return let(F.struct(F.array_except(x["a"], x["b"]).alias("open"), F.array_distinct(_leaves(F.array_except(x["b"], x["a"]))).alias("other")), inside)
 
-        def equal(p: Column, q: Column, most: Column) -> Column:
-            same = F.zip_with(F.slice(p, F.lit(1), most), F.slice(q, F.lit(1), most), lambda u, v: u == v)
-            return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, most).cast("int")
+    return F.when(root(a) == root(b), none).otherwise(let(F.struct(_sections(a).alias("a"), _sections(b).alias("b")), descend))
 
-        first = equal(x, y, n)
-        last = equal(F.reverse(x), F.reverse(y), n - first)
-        return F.struct(i.alias("section"), first.alias("place"), (F.size(x) - last).alias("a_end"), (F.size(y) - last).alias("b_end"))
 
-    return F.transform(differing_sections(a, b), place)
+def merkle_trees(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint`` of each row of ``docs(doc_id, text)``.
+
+    A null text counts as empty, a tree of no sections. Null and repeated ids are rows like others;
+    an empty table gives no rows; other columns are ignored. Very long texts are hashed whole, in time
+    linear in their length; a fingerprint takes about 16 characters for each paragraph.
+    """
+    return docs.select("doc_id", fingerprint(text_or_empty().cast("string")).alias("fingerprint"))
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
@@ -100,13 +117,14 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
     Ids are cut into ranges at quantiles, and each range is sorted by itself. So that its last row
     finds its successor, the first row of the following range is put in a second time. Texts move
-    once. Nulls come last; rows with equal ids are ordered by text. Only the borders of ranges
-    (``MOST_RANGES`` at most) reach the driver.
+    once. Nulls come last; rows with equal ids are ordered by text and are sorted in one task, which
+    ids that identify documents never make large. Only the borders of ranges (``MOST_RANGES`` at most)
+    reach the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     ids = docs.select("doc_id")
     ranges = max(1, min(MOST_RANGES, ids.count() // RANGE_ROWS))
-    borders = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20_000)).first()[0] or []
+    borders = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], max(20_000, 4 * ranges))).first()[0] or []
     splits = [float("-inf"), *(sorted({float(x) for x in borders}) or [0.0]), float("inf")]
     last = len(splits) - 1
     cut = Bucketizer(splits=splits, inputCol="__value", outputCol="__bucket", handleInvalid="keep")
@@ -130,10 +148,11 @@ def with_next_text(docs: DataFrame) -> DataFrame:
 
 
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts, and how alike these and the next document's are."""
     rows = with_next_text(documents(spark, sf_dir))
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - tail), F.substr("next", F.lit(1), tail)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[paragraphs(F.col(c)).alias(c) for c in ("text", "edited", "next")])
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", *[root(section_hashes(F.col(c))).alias(f) for c, f in (("text", "fingerprint"), ("edited", "edited_fingerprint"))], *[leaves(F.col(c)).alias(c) for c in ("text", "edited", "next")])
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("text"), F.col("edited")).alias("near_edited"), likeness(F.col("text"), F.col("next")).alias("near_next"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[fingerprint(F.col(c)).alias(f) for c, f in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next", "next_fingerprint"))])
+    near = [likeness(F.col("fingerprint"), F.col(f"{c}_fingerprint")).alias(f"near_{c}") for c in ("edited", "next")]
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)

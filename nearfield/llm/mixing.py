@@ -8,12 +8,21 @@ documents in seeded order, epoch after epoch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, broadcast_if_small, documents, null_safe_join
+from nearfield.llm.common import Scratch, bound_batches, broadcast_if_small, documents, null_safe_join
+from nearfield.llm.tokens import default_tokenizer, token_counts
 
-#: Production weights. Sources not named weigh the same within their language; languages not named, null too, by their tokens.
+#: The production table of domains: the sources of each. A source that it doesn't list is of the domain ``OTHER``.
+DOMAINS = {
+    "web": ("src0", "src2", "src4", "src6", "src8", "src10", "src12", "src14", "src16", "src18"),
+    "reference": ("src1", "src3", "src5", "src7", "src9", "src11", "src13", "src15", "src17", "src19"),
+}
+OTHER = "other"
+#: Production weights. Domains and sources not named weigh 1; languages not named, null too, by their tokens.
 DOMAIN_WEIGHTS = {"web": 3.0, "reference": 1.0}
 LANG_WEIGHTS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 #: The budget as a share of the tokens there are, and how often a document may be taken.
@@ -21,13 +30,14 @@ BUDGET_SHARE, EPOCHS = 0.9, 4
 SEED = 4
 #: A leaf's documents are summed up in this many ranges (a power of two) of their order, so that no leaf is sorted in one task.
 RANGES = 1024
-#: Up to so many leaves' ends are broadcast; those of more are joined by exchange.
-MOST_LEAVES = 100_000
 
 
-def default_domain(source: Column) -> Column:
-    """The domain of a source: sources with an even number at their end are web crawls, others reference works."""
-    return F.when(F.coalesce(source, F.lit("")).rlike("[02468]$"), "web").otherwise("reference")
+def domain_of(source: Column, domains: dict[str, tuple[str, ...]]) -> Column:
+    """The domain that the table ``domains`` gives a source, ``OTHER`` if none."""
+    out = F.lit(OTHER)
+    for name, sources in sorted(domains.items()):
+        out = F.when(source.isin(*sources), F.lit(name)).otherwise(out)
+    return out
 
 
 def default_tokens(text: Column) -> Column:
@@ -92,14 +102,15 @@ def budgets(supply: DataFrame, budget: float, epochs: int, domains: dict[str, fl
 
 def mix(
     docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, domains: dict[str, float] = DOMAIN_WEIGHTS, langs: dict[str, float] = LANG_WEIGHTS, sources: dict[str, float] | None = None,
-    seed: int = SEED, tokens: Column | None = None, domain: Column | None = None,
+    seed: int = SEED, tokens: Callable[[Column], Column] = default_tokens, table: dict[str, tuple[str, ...]] = DOMAINS,
 ) -> tuple[DataFrame, DataFrame]:
     """Mix ``docs(doc_id, text, lang, source, ...)`` to the weights within ``budget`` tokens.
 
     Returns the rows taken, with all their columns and an ``epoch`` from 0 (a row that is taken
     twice appears twice), and ``domain, lang, source, tokens, budget`` of each leaf. A leaf takes
     the longest prefix of its seeded order whose tokens are within its budget, so the mix exceeds
-    no budget and falls short of a leaf's by less than one document.
+    no budget and falls short of a leaf's by less than one document. ``table`` has the sources of each
+    domain, and ``tokens`` counts a text's.
 
     Where that prefix ends is one place for each leaf: an epoch, a range of the order, and a place
     in it. Only that range is sorted, and the documents need no exchange to tell on which side they
@@ -109,40 +120,45 @@ def mix(
     leaves of their own. Languages that ``langs`` doesn't name, null too, weigh by their tokens, at
     the rate of tokens to weight of their domain's named ones; a weight of 0 must be named. Documents without tokens cost nothing and are taken with those before
     them. Rows that are equal in id and text are taken or left together. An empty table gives empty
-    results. A column named ``epoch`` in ``docs`` is replaced.
+    results. A column named ``epoch`` in ``docs`` is replaced; all others stay, whatever their names.
+    A very long document is taken whole or not at all.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    keys = ["__domain", "lang", "source"]
-    n = default_tokens(F.col("text")) if tokens is None else tokens
-    rows = docs.withColumn("__domain", default_domain(F.col("source")) if domain is None else domain)
-    at = F.xxhash64(F.lit(seed), "__epoch", "__hash")
-    in_range = F.shiftrightunsigned("__at", 64 - RANGES.bit_length() + 1).cast("int")
-    hashed = rows.select(*keys, n.alias("__t"), F.xxhash64("doc_id", "text").alias("__hash"))
-    small = scratch.table(hashed.groupBy(*keys, "__hash").agg(F.sum("__t").alias("t")), "tokens")
-    supply = small.groupBy(*keys).agg(F.sum("t").alias("tokens")).withColumnRenamed("__domain", "domain")
+    keys = ["domain", "lang", "source"]
+    at = F.xxhash64(F.lit(seed), "epoch", "hash")
+    in_range = F.shiftrightunsigned("at", 64 - RANGES.bit_length() + 1).cast("int")
+    kept = [c for c in docs.columns if c != "epoch"]
+    # The rows travel as one column, so that names of theirs can't meet those of the plan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), domain_of(F.col("source"), table).alias("domain"), F.col("lang"), F.col("source"), F.xxhash64("doc_id", "text").alias("hash"))
+    small = docs.select(domain_of(F.col("source"), table).alias("domain"), "lang", "source", F.xxhash64("doc_id", "text").alias("hash"), tokens(F.col("text")).alias("t"))
+    small = scratch.table(small.groupBy(*keys, "hash").agg(F.sum("t").alias("t")), "tokens")
+    supply = small.groupBy(*keys).agg(F.sum("t").alias("tokens"))
     if budget is None:
         budget = int((supply.agg(F.sum("tokens")).first()[0] or 0) * BUDGET_SHARE)
     leaves = scratch.table(budgets(supply, float(budget), epochs, domains, langs, sources or {}), "leaves")
-    paid = leaves.select(F.col("domain").alias("__domain"), "lang", "source", "budget")
+    paid = leaves.select(*keys, "budget")
     every = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
-    placed = small.select(*keys, "__hash", "t", every.alias("__epoch")).withColumn("__at", at).withColumn("__range", in_range)
-    sums = placed.groupBy(*keys, "__epoch", "__range").agg(F.sum("t").alias("sum"))
-    over = Window.partitionBy(*keys).orderBy("__epoch", "__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = small.select(*keys, "hash", "t", every.alias("epoch")).withColumn("at", at).withColumn("range", in_range)
+    sums = placed.groupBy(*keys, "epoch", "range").agg(F.sum("t").alias("sum"))
+    over = Window.partitionBy(*keys).orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
     sums = null_safe_join(sums.withColumn("base", F.coalesce(F.sum("sum").over(over), F.lit(0))), paid, keys)
     # The first range that a leaf cannot pay for whole, if there is one.
-    last = sums.filter("base + sum > budget").groupBy(*keys).agg(F.min(F.struct(F.col("__epoch").alias("epoch"), F.col("__range").alias("range"), "base", "budget")).alias("end"))
+    last = sums.filter("base + sum > budget").groupBy(*keys).agg(F.min(F.struct("epoch", "range", "base", "budget")).alias("end"))
     last = scratch.table(last, "ends")
-    inside = null_safe_join(placed, broadcast_if_small(last, MOST_LEAVES), keys).filter("__epoch = end.epoch and __range = end.range")
-    within = Window.partitionBy(*keys).orderBy("__at", "__hash").rowsBetween(Window.unboundedPreceding, 0)
+    inside = null_safe_join(placed, broadcast_if_small(last), keys).filter("epoch = end.epoch and range = end.range")
+    within = Window.partitionBy(*keys).orderBy("at", "hash").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("sum", F.col("end.base") + F.sum("t").over(within)).filter("sum <= end.budget")
-    cut = inside.groupBy(*keys).agg(F.max(F.struct("__at", "__hash")).alias("cut"))
-    ends = scratch.table(null_safe_join(null_safe_join(paid.select(*keys), last, keys, "left"), cut, keys, "left").select(*keys, F.col("end.epoch").alias("__end"), F.col("end.range").alias("__end_range"), F.col("cut").alias("__cut")), "cuts")
-    marked = null_safe_join(rows.withColumn("__hash", F.xxhash64("doc_id", "text")), broadcast_if_small(ends, MOST_LEAVES), keys)
-    marked = marked.withColumn("__epoch", every).withColumn("__at", at).withColumn("__range", in_range)
-    before = F.col("__end").isNull() | (F.col("__epoch") < F.col("__end"))
-    ending = (F.col("__epoch") == F.col("__end")) & ((F.col("__range") < F.col("__end_range")) | ((F.col("__range") == F.col("__end_range")) & (F.struct("__at", "__hash") <= F.col("__cut"))))
-    return marked.filter(before | ending).select(*[c for c in docs.columns if c != "epoch"], F.col("__epoch").alias("epoch")), leaves
+    cut = inside.groupBy(*keys).agg(F.max(F.struct("at", "hash")).alias("cut"))
+    ends = scratch.table(null_safe_join(null_safe_join(paid.select(*keys), last, keys, "left"), cut, keys, "left").select(*keys, F.col("end.epoch").alias("last"), F.col("end.range").alias("last_range"), "cut"), "cuts")
+    scratch.drop("tokens", "ends")
+    marked = null_safe_join(rows, broadcast_if_small(ends), keys)
+    marked = marked.withColumn("epoch", every).withColumn("at", at).withColumn("range", in_range)
+    before = F.col("last").isNull() | (F.col("epoch") < F.col("last"))
+    ending = (F.col("epoch") == F.col("last")) & ((F.col("range") < F.col("last_range")) | ((F.col("range") == F.col("last_range")) & (F.struct("at", "hash") <= F.col("cut"))))
+    return marked.filter(before | ending).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "epoch"), leaves
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))[0].select("doc_id", "lang", "source", "epoch")
+    """The documents taken, in tokens of the tokenizer that packing uses."""
+    bound_batches(spark)
+    return mix(documents(spark, sf_dir), tokens=token_counts(default_tokenizer()))[0].select("doc_id", "lang", "source", "epoch")

@@ -45,30 +45,45 @@ OP6 = (
     + ", sha256(coalesce(string_agg(s, ',' ORDER BY a, o, b) FILTER (WHERE o < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, o, b), '') AS spans FROM t LEFT JOIN x USING (doc_id) GROUP BY t.doc_id"
 )
 
-_PARAGRAPH = "[^.!?,;:]{1,64}[.!?,;:]*|[.!?,;:]+"
+_PARAGRAPH = r"[^.!?,;:\n]{1,64}[.!?,;:\n]*|[.!?,;:\n]+"
 
 
-def _parts(text: str) -> str:
-    return f"list_transform(string_split({text}, chr(10)), lambda s: regexp_extract_all(s, '{_PARAGRAPH}'))"
+def _full(text: str) -> str:
+    """Sections with whole hashes of their leaves."""
+    leaf = "sha256(p) || '.' || length(p) || CASE WHEN starts_with(sha256(p), '0') THEN '|' ELSE ',' END"
+    return f"list_filter(string_split(array_to_string(list_transform(regexp_extract_all({text}, '{_PARAGRAPH}'), lambda p: {leaf}), ''), '|'), lambda s: s <> '')"
 
 
-def _root(parts: str) -> str:
-    return f"sha256(array_to_string(list_transform({parts}, lambda ps: sha256(array_to_string(list_transform(ps, lambda p: sha256(p)), ''))), ''))"
+def _tree(full: str) -> str:
+    sections = f"list_transform({full}, lambda s: left(sha256(s), 16) || '=' || regexp_replace(s, '([0-9a-f]{{12}})[0-9a-f]{{52}}', '\\1', 'g'))"
+    return f"sha256(array_to_string(list_transform({full}, lambda s: sha256(s)), '')) || ':' || array_to_string({sections}, '|')"
 
 
-def _near(a: str, b: str) -> str:
-    weight = lambda x: f"coalesce(list_sum(list_transform({x}, lambda p: length(p))), 0)"
-    both = f"({weight(a)} + {weight(b)})"
-    return f"CASE WHEN {both} = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {weight(f'list_intersect({a}, {b})')}::DOUBLE / {both}::DOUBLE END"
+def _leaves(sections: str) -> str:
+    return f"list_filter(flatten(list_transform({sections}, lambda s: string_split(substr(s, 18), ','))), lambda x: x <> '')"
+
+
+def _weight(leaves: str) -> str:
+    return f"coalesce(list_sum(list_transform({leaves}, lambda x: split_part(x, '.', 2)::BIGINT)), 0)"
+
+
+def _near(name: str, other: str) -> str:
+    """A query of ``doc_id, near`` from the trees in columns ``t`` and ``other`` of ``g``."""
+    return (
+        f"{name} AS (SELECT doc_id, CASE WHEN left(t, 64) = left(o, 64) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * ({_weight(_leaves('c'))} + {_weight('list_intersect(ra, rb)')})::DOUBLE / (2 * {_weight(_leaves('c'))} + {_weight('ra')} + {_weight('rb')})::DOUBLE END AS near FROM ("
+        f"SELECT *, list_distinct({_leaves('list_distinct(list_filter(a, lambda s: NOT list_contains(c, s)))')}) AS ra, list_distinct({_leaves('list_distinct(list_filter(b, lambda s: NOT list_contains(c, s)))')}) AS rb FROM ("
+        f"SELECT *, list_intersect(a, b) AS c FROM (SELECT doc_id, t, {other} AS o, list_filter(string_split(substr(t, 66), '|'), lambda s: s <> '') AS a, list_filter(string_split(substr({other}, 66), '|'), lambda s: s <> '') AS b FROM g))))"
+    )
 
 
 OP7 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 e AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id DESC)),
 f AS (SELECT *, left(text, length(text) - length(text) // 3) || left(next, length(text) // 3) AS edited FROM e),
-p AS (SELECT doc_id, text, edited, {_parts("text")} AS pt, {_parts("edited")} AS pe, {_parts("next")} AS pn FROM f),
-l AS (SELECT *, list_distinct(flatten(pt)) AS lt, list_distinct(flatten(pe)) AS le, list_distinct(flatten(pn)) AS ln FROM p)
-SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_root("pt")} AS fingerprint, {_root("pe")} AS edited_fingerprint, {_near("lt", "le")} AS near_edited, {_near("lt", "ln")} AS near_next FROM l
+p AS (SELECT doc_id, text, edited, {_full("text")} AS pt, {_full("edited")} AS pe, {_full("next")} AS pn FROM f),
+g AS MATERIALIZED (SELECT doc_id, text, edited, {_tree("pt")} AS t, {_tree("pe")} AS te, {_tree("pn")} AS tn FROM p),
+{_near("ne", "te")}, {_near("nn", "tn")}
+SELECT g.doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, t AS fingerprint, te AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next FROM g JOIN ne USING (doc_id) JOIN nn USING (doc_id)
 """
 
 OP8 = f"""
@@ -78,11 +93,10 @@ line AS MATERIALIZED (SELECT doc_id, host, text, raw, place, array_to_string(reg
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM line GROUP BY doc_id),
 gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d))),
 again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM gram, generate_series(0, 2) s(k) WHERE n > 1 GROUP BY doc_id),
-lim AS (SELECT host, greatest(10.0, 0.01 * count(DISTINCT text)) AS most FROM d GROUP BY host),
-often AS (SELECT l.host, line FROM line l JOIN lim USING (host) GROUP BY l.host, line, most HAVING count(DISTINCT text) > most),
+often AS (SELECT host, line FROM line GROUP BY host, line HAVING count(DISTINCT doc_id) > 10),
 lost AS (SELECT doc_id, sum(size) AS n FROM line JOIN often USING (host, line) GROUP BY doc_id),
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0) AS gone FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS gone FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, gone AS removed_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words AS kept FROM s
 """

@@ -1,18 +1,17 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are fitted: one of texts of the target quality, one of the
-raw corpus. A document's importance weight is the ratio of its likelihoods under them, and Gumbel
-top-k draws the documents to keep. Noise of scale 1 draws in proportion to their weights, of scale
-``TEMPERATURE`` to their tenth powers: with production parameters, where k is the number of weights
-above 1, the draw amounts to a threshold on the ratio, but for documents very near it.
+raw corpus. A document's logarithmic importance weight is the sum over its n-grams of the log ratio of
+the two models, and Gumbel top-k draws ``k`` documents without replacement, in proportion to their weights.
 
-N-grams are words (hashed to ``BUCKETS``) and pairs of neighbouring word shapes: case, final marks,
-digits, and whether the word repeats the one before. Shapes behave alike for corpora of every size.
+N-grams are words, runs of marks, and pairs of neighbours of these, hashed to ``BUCKETS`` for each
+length. Letters are lower-cased.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,135 +20,88 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, bound_batches, documents
+from nearfield.llm.common import BROADCAST_BYTES, Scratch, bound_batches, documents, null_safe_join, table_bytes
+from nearfield.llm.recent import Recent, held
 
-BUCKETS = 1 << 16
-SHAPES = 4 * 6 * 4
-PAIRS = SHAPES * SHAPES * 2
-#: About this many labelled documents at most take part in fitting the target and setting the cut.
+TOKEN = re.compile(r"\w+|[^\w\s]+")
+BUCKETS = 1 << 14
+#: About this many labelled documents at most are the target's sample.
 LABELLED = 20_000
-#: Scale of the Gumbel noise against the logarithmic weights; 0 would keep the heaviest documents.
-TEMPERATURE = 0.1
-SEED = 5
-#: Counts that the two models have in common for each feature.
+#: Counts that both models add to each bucket, at the size of the target's sample; they leave rare n-grams neutral.
 PRIOR = 20.0
+SEED = 5
 
 
-def _classes() -> bytes:
-    """The class of each byte: a letter (A for capitals, a for all others and for bytes beyond ASCII), digit, closing mark, shouting mark, symbol or other mark. White space stays."""
-    out = bytearray(b"-" * 256)
-    for k in range(128, 256):
-        out[k] = ord("a")
-    for chars, c in ((b"abcdefghijklmnopqrstuvwxyz", "a"), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), (b"0123456789", "0"), (b".,;:", "."), (b"!?", "!"), (b"#*$%&|<>", "#"), (b" \t\n\x0b\x0c\r", "")):
-        for k in chars:
-            out[k] = ord(c) if c else k
-    return bytes(out)
-
-
-CLASSES = _classes()
-
-
-class _Shapes(dict):
-    """Shape of a word of classes: its case, its last class, and whether it has digits or symbols. There are few such words."""
-
-    def __missing__(self, word: bytes) -> int:
-        case = 3 if b"A" not in word and b"a" not in word else 1 if b"a" not in word and len(word) > 1 else 2 if word[0] == 65 else 0
-        end = b"aA0.!#".find(word[-1:])
-        shape = (case * 6 + (1 if end < 0 else 0 if end < 2 else end)) * 4 + (b"0" in word) * 2 + (b"#" in word)
-        if len(self) < 50_000 and len(word) <= 64:
-            self[word] = shape
-        return shape
-
-
-_shapes = _Shapes()
+class _Hashes(Recent):
+    def make(self, token: str) -> int:
+        from xxhash import xxh32_intdigest
 
+        return xxh32_intdigest(token)
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words, and pairs of shapes, of a whole text. Words end at ASCII white space."""
-    from xxhash import xxh32_intdigest
 
-    raw = text.encode() if text else b""
-    words = raw.split()
-    codes = np.fromiter(map(xxh32_intdigest, words), np.int64, len(words))
-    shape = np.fromiter(map(_shapes.__getitem__, raw.translate(CLASSES).split()), np.int64, len(words))
-    pairs = (shape[:-1] * SHAPES + shape[1:]) * 2 + (codes[1:] == codes[:-1])
-    return codes & (BUCKETS - 1), pairs
+def features(text: str | None) -> np.ndarray:
+    """Buckets of the words and marks of a whole text, then those of their pairs, which follow the first ``BUCKETS``."""
+    codes = held("quality hashes", lambda: _Hashes(300_000))
+    tokens = TOKEN.findall(text.lower()) if text else ()
+    one = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+    two = (one[:-1] * 0x9E3779B1 + one[1:] * 0x85EBCA77) >> 12
+    return np.concatenate([one & (BUCKETS - 1), (two & (BUCKETS - 1)) + BUCKETS])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS + PAIRS), np.int64)
+    total = np.zeros((2, 2 * BUCKETS), np.int64)
     for batch in batches:
         for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words, pairs = features(text.as_py())
-            both = np.concatenate([words, pairs + BUCKETS])
-            np.add.at(total[0], both, 1)
-            if target == 1:
-                np.add.at(total[1], both, 1)
+            own = features(text.as_py())
+            for k in (0, 1) if target == 1 else (0,):
+                np.add.at(total[k], own, 1)
     at = np.flatnonzero(total[0])
     yield pa.RecordBatch.from_pydict({"feature": pa.array(at, pa.int64()), "raw": pa.array(total[0][at]), "target": pa.array(total[1][at])})
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:
-    """Logarithmic ratio of target to raw frequency by feature; the raw counts cover all of ``docs``.
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Logarithm of the target model over the raw model for each bucket, from the counts of both; 0 throughout without a target.
 
-    The target is ``docs`` whose ``labels(doc_id, quality)`` say 1, about ``labelled`` at most; those
-    that set the cut are left out.
+    The raw counts are scaled to the target's total for each length of n-gram, and both get ``PRIOR``.
     """
-    marked = docs.join(F.broadcast(_chosen(labels, labelled).filter(~_for_cut())), "doc_id", "left").select("text", "quality")
-    counted = marked.mapInArrow(_counts, "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    got = counted.toArrow()  # a row for each feature at most, whatever the input
-    n = np.zeros((2, BUCKETS + PAIRS))
-    at = got.column("feature").to_numpy()
-    n[0][at], n[1][at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
-    if not n[1].sum():
-        return np.zeros(BUCKETS + PAIRS)
-    ratio = np.zeros(BUCKETS + PAIRS)
+    out = np.zeros(2 * BUCKETS)
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        # What a feature would count in a target drawn from the raw corpus; added to both sides, PRIOR leaves rare features neutral.
-        expected = n[0][part] * (n[1][part].sum() / max(1, n[0][part].sum()))
-        ratio[part] = np.log((n[1][part] + PRIOR) / (expected + PRIOR))
-    return ratio
+        if target[part].sum():
+            out[part] = np.log((target[part] + PRIOR) / (raw[part] * (target[part].sum() / raw[part].sum()) + PRIOR))
+    return out
 
 
-def _for_cut() -> Column:
-    """A third of the labelled documents set the cut; the others fit the target."""
-    return F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.lit(3)) == 0
+def _each_label(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def _chosen(labels: DataFrame, most: int) -> DataFrame:
-    """One label for each document, of about ``most`` documents, chosen by a hash of the id."""
-    each = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, most / max(1, each.count()))
-    return each.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:
+    """The log ratio by bucket. The raw model counts all of ``docs(doc_id, text)``; the target's sample is those of them whose ``labels(doc_id, quality)`` say 1, about ``labelled`` at most, chosen by a hash of the id."""
+    each = _each_label(labels)
+    share = min(1.0, labelled / max(1, each.count()))
+    chosen = each.filter(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    marked = docs.join(F.broadcast(chosen), "doc_id", "left").select("text", "quality")
+    counted = marked.mapInArrow(_counts, "feature long, raw long, target long").groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    got = counted.toArrow()  # a row for each bucket at most, whatever the input
+    n = np.zeros((2, 2 * BUCKETS))
+    at = got.column("feature").to_numpy()
+    n[0][at], n[1][at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
+    return log_ratio(*n)
 
 
 def _scorer(spark: SparkSession, ratio: np.ndarray):
+    """A function of a text column: the logarithmic weight, null for texts without words or marks."""
     sent = spark.sparkContext.broadcast(ratio)
 
-    @F.pandas_udf("mean double, n long")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        ratio, mean, n = sent.value, [], []
-        for text in texts:
-            words, pairs = features(text)
-            n.append(len(words))
-            mean.append((ratio[words].mean() + (ratio[BUCKETS + pairs].mean() if len(pairs) else 0.0)) if len(words) else None)
-        return pd.DataFrame({"mean": pd.Series(mean, dtype="float64"), "n": n})
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        ratio = sent.value
+        return pd.Series([float(ratio[own].sum()) if len(own) else None for own in map(features, texts)], dtype="float64")
 
     # A deterministic function would be computed once for a filter and once more for the columns above it.
     return score.asNondeterministic()
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
-    """The mean score from which most good and fewest bad documents are kept, as shares; of equal cuts the lowest."""
-    if not len(good) or not len(bad):
-        return float(good.min()) if len(good) else -math.inf
-    cuts = np.unique(np.concatenate([good, bad]))
-    kept = 1 - np.searchsorted(np.sort(good), cuts) / len(good)
-    dropped = np.searchsorted(np.sort(bad), cuts) / len(bad)
-    best = int(np.argmax(kept + dropped))
-    return float(cuts[best] + cuts[best - 1]) / 2 if best else float(cuts[best])
-
-
 def kth_largest(values: DataFrame, column: str, k: int, last: int = 10_000) -> float:
     """The exact ``k``-th largest value (from 1) by ever finer histograms of 1,000 bins, then a sort of ``last`` rows at most (or of equal values)."""
     values = values.select(F.col(column).alias("v")).filter("v is not null")
@@ -170,44 +122,55 @@ def kth_largest(values: DataFrame, column: str, k: int, last: int = 10_000) -> f
     return float(values.filter(F.col("v").between(lo, hi)).orderBy(F.desc("v")).limit(k).agg(F.min("v")).first()[0])
 
 
-def _gumbel(seed: int) -> Column:
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def gumbel(seed: int, *of: Column | str) -> Column:
+    """A draw from the standard Gumbel law, by a hash of the columns ``of``."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, labelled: int = LABELLED) -> tuple[DataFrame, DataFrame]:
-    """Draw ``k`` of ``docs(doc_id, text, ...)`` by Gumbel top-k on their importance weights.
+def top_k_floor(keys: DataFrame, k: int) -> float:
+    """The least of the ``k`` largest of ``keys(key)``; infinite where none, or all, are to be drawn."""
+    if k <= 0:
+        return math.inf
+    return kth_largest(keys, "key", k) if k < keys.filter("key is not null").count() else -math.inf
 
-    The logarithmic weight of a document is the sum over its words of the log ratio, less the mean
-    that best parts the labelled good from the labelled bad documents. Without ``k``, as many are
-    drawn as have a weight above 1. Returns the drawn rows with all their columns, and
-    ``doc_id, mean, log_weight, kept`` of every row.
 
-    Texts without words have no weight and are never drawn. Rows that tie at the cut, such as exact
-    repeats of a row, are all drawn. Without labels of both kinds nothing tells documents apart by
-    a cut: without good labels all rows with words are drawn. Null ids have no label.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, labelled: int = LABELLED) -> tuple[DataFrame, DataFrame]:
+    """Draw ``k`` of ``docs(doc_id, text, ...)`` by Gumbel top-k on their importance weights.
+
+    The logarithmic weight of a document is the sum over its n-grams of the log ratio of the models.
+    Its key is the weight plus a draw from the standard Gumbel law, and the ``k`` greatest keys are drawn:
+    a sample without replacement in which a document that is e times as likely is drawn e times as soon.
+    Without ``k``, as many are drawn as labels lead to expect of good documents: their share among the
+    labelled, of all documents with words. Returns the drawn rows with all their columns, and
+    ``doc_id, log_weight, key, kept`` of every row.
+
+    Texts without words or marks, null ones too, have no weight and are never drawn. Rows that tie at
+    the last place, such as exact repeats of a row, are all drawn. Null ids have no label. Without any label all rows
+    with words are drawn; without a good one all weights are 0. An empty table gives empty results;
+    columns of any names stay as they are. Every word of a very long text counts, in time linear in their number.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    plain = docs.select("doc_id", "text")
-    ratio = fit(plain, labels, labelled)
-    score = _scorer(spark, ratio)
-    sample = plain.join(F.broadcast(_chosen(labels, labelled).filter(_for_cut())), "doc_id").select("quality", score("text").alias("s")).select("quality", "s.mean").filter("mean is not null").toArrow()
-    mean, quality = sample.column("mean").to_numpy(), sample.column("quality").to_numpy()
-    cut = best_cut(mean[quality == 1], mean[quality == 0])
-    cut = -1e6 if cut == -math.inf else cut
-
-    def keyed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("__s", score(F.col("text").cast("string")))
-        df = df.withColumn("__w", F.col("__s.n") * (F.col("__s.mean") - F.lit(cut)))
-        return df.withColumn("__g", F.col("__w") + temperature * _gumbel(seed))
-
-    scores = Scratch(spark).table(keyed(plain).select("doc_id", F.col("__s.mean").alias("mean"), F.col("__w").alias("log_weight"), F.col("__g").alias("key")), "scores")
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    score = _scorer(spark, fit(plain, labels, labelled))
+    scored = plain.select("doc_id", F.xxhash64("text").alias("hash"), score("text").alias("log_weight"))
+    scratch = Scratch(spark)
+    scores = scratch.table(scored.withColumn("key", F.col("log_weight") + gumbel(seed, "doc_id", "hash")), "scores")
     if k is None:
-        k = scores.filter("log_weight >= 0").count()
-    floor = kth_largest(scores, "key", k) if 0 < k < scores.filter("key is not null").count() else (-math.inf if k else math.inf)
-    drawn = keyed(docs).filter(F.col("__g") >= floor).select(*docs.columns)
-    return drawn, scores.select("doc_id", "mean", "log_weight", F.coalesce(F.col("key") >= floor, F.lit(False)).alias("kept"))
+        n, good = _each_label(labels).agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
+        words = scores.filter("log_weight is not null").count()
+        k = round(words * good / n) if n else words
+    floor = top_k_floor(scores.select("key"), k)
+    kept = F.coalesce(F.col("key") >= floor, F.lit(False))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    out = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    gone = scratch.table(scores.filter(~kept).select("doc_id", "hash").distinct(), "gone")
+    if table_bytes(gone) <= BROADCAST_BYTES:
+        left = null_safe_join(rows.withColumn("hash", F.xxhash64("text")), F.broadcast(gone), ["doc_id", "hash"], "left_anti")
+    else:  # texts are scored again rather than exchanged
+        left = rows.withColumn("key", score("text") + gumbel(seed, "doc_id", F.xxhash64("text"))).filter(kept)
+    return left.select(*out), scores.select("doc_id", "log_weight", "key", kept.alias("kept"))
 
 
 def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +178,5 @@ def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all ``documents``, and which of them the draw keeps."""
     return resample(documents(spark, sf_dir), labels_table(spark, sf_dir))[1]

@@ -1,7 +1,7 @@
 """Quality rules by cross-document line frequency.
 
-Normalised lines are hashed together with their host. A line that more documents of its host hold
-than the host's limit is removed, and a document that loses too many of its words is rejected, as is
+Normalised lines are hashed together with their host. A line that more distinct documents of its
+host hold than the limit is removed, and a document that loses too many of its words is rejected, as is
 one that fails the plain rules on its own words.
 """
 
@@ -14,16 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, bound_batches, documents
+from nearfield.llm.common import Scratch, bound_batches, broadcast_if_small, documents
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
-#: A host's limit: this many distinct documents, or this share of the host's, whichever is more.
-LEAST_DOCUMENTS, HOST_SHARE = 10, 0.01
+#: A line that more distinct documents of its host hold is removed. The limit doesn't grow with the host: the larger a host, the more of its boilerplate is found.
+LIMIT = 10
 #: A document that keeps a smaller share of its words is rejected.
 LEFT = 0.5
-#: Up to so many frequent lines (eight bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_LINES = 1_000_000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, sizes array<int>"
 
@@ -87,32 +85,32 @@ def _with_stats(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frequent_lines(stats: DataFrame, least: int, share: float) -> DataFrame:
-    """``line`` of all lines above their host's limit. Documents count once for each distinct text of a host."""
-    hosts = stats.groupBy("host").agg(F.countDistinct("content").alias("texts")).select("host", F.greatest(F.lit(float(least)), F.col("texts") * share).alias("limit"))
-    each = stats.select("host", "content", F.explode("lines").alias("line"))
-    # Rows are no fewer than distinct texts, so few lines are left for the exact count.
-    often = each.groupBy("line").count().filter(F.col("count") > least).select("line")
-    exact = each.join(often, "line").groupBy("host", "line").agg(F.countDistinct("content").alias("documents"))
-    return exact.join(hosts, exact["host"].eqNullSafe(hosts["host"])).filter("documents > limit").select("line").distinct()
+def frequent_lines(stats: DataFrame, limit: int) -> DataFrame:
+    """``line`` of all lines that more than ``limit`` distinct documents of their host hold; rows of one doc_id are one document, rows without an id one for each text.
+
+    Each document counts a line once. The second count is summed in every task before the exchange, so the commonest line is a row a task.
+    """
+    each = stats.select(F.explode("lines").alias("line"), F.coalesce(F.col("doc_id").cast("long"), F.col("content")).alias("document")).distinct()
+    return each.groupBy("line").count().filter(F.col("count") > limit).select("line")
 
 
-def apply_rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, share: float = HOST_SHARE, left: float = LEFT, with_text: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", limit: int = LIMIT, left: float = LEFT, with_text: bool = False) -> DataFrame:
     """Count, clean and judge each row of ``docs(doc_id, text, <host>)``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    removed_words, kept`` and, if asked for, ``text`` without the lines above the limits. A null text
+    removed_words, kept`` and, if asked for, ``text`` without the lines above the limit. A null text
     counts as empty and fails for want of words. A null host is a host of its own, as is an empty one
-    with it. Repeated rows get the same verdict and count once in line counts. An empty table gives
-    no rows; other columns are ignored.
+    with it. Repeated rows get the same verdict and count once in line counts; copies under different
+    ids are different documents, so a text that more than ``limit`` documents of a host hold loses all
+    its lines. An empty table gives no rows; other columns are ignored. Very long texts are counted
+    whole, in time about linear in their length. Lines above the limit are broadcast within a checked
+    size; beyond it Spark joins them by exchange and splits the commonest.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     bound_batches(spark)
     rows = _with_stats(docs.select("doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")))
     rows = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), *(rows.columns if with_text else [c for c in rows.columns if c != "text"])), "stats")
-    often = scratch.table(frequent_lines(rows, least, share), "frequent")
-    if often.count() <= BROADCAST_LINES:
-        often = F.broadcast(often)
+    often = broadcast_if_small(scratch.table(frequent_lines(rows, limit), "frequent"))
     hits = rows.select("row", F.explode(F.arrays_zip("lines", "sizes")).alias("l")).select("row", F.col("l.lines").alias("line"), F.col("l.sizes").alias("size")).join(often, "line")
     lost = hits.groupBy("row").agg(F.sum("size").alias("removed_words"), *[F.collect_set("line").alias("gone")] * with_text)
     out = rows.join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
@@ -136,4 +134,5 @@ def apply_rules(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUME
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(documents(spark, sf_dir)).drop("removed_words")
+    """Counts and verdicts of all ``documents``."""
+    return apply_rules(documents(spark, sf_dir))

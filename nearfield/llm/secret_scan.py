@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import Scratch, broadcast_if_small, documents
-from nearfield.llm.spans import contains_any, count_kind, joined, spans, tagged
+from nearfield.llm.spans import blotted, contains_any, count_kind, joined, spans, tagged
 
 #: Changes whenever a rule does; findings of another version are not reused.
 RULES = "2026-1"
@@ -41,47 +41,96 @@ def _findings(text: Column, whole: bool) -> Column:
     return F.concat(assign, access, hexes, pem, code, chat, web)
 
 
+class Ledger:
+    """A stored ledger: a folder of Parquet files, to which every run adds the pairs that it scanned."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self.spark, self.uri = spark, uri
+
+    def rows(self) -> DataFrame | None:
+        """``blob, rules, findings`` of all pairs so far; None before the first run."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.uri}/_SUCCESS")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(LEDGER).parquet(self.uri)
+
+    def scan(self, versions: DataFrame, rules: str = RULES, whole: bool = False) -> DataFrame:
+        """Scan what the ledger lacks, store it, and return ``path, blob, findings`` of all ``versions`` from what is stored."""
+        rules = f"{rules}-whole" if whole else rules
+        new, places = _scan_unseen(versions, self.rows(), rules, whole)
+        new.write.mode("append").parquet(self.uri)
+        return _back(places, self.rows().filter(F.col("rules") == rules))
+
+
+def _scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """The new rows of the ledger, and ``path, blob`` of all versions, both as written tables."""
+    scratch = Scratch(versions.sparkSession)
+    addressed = versions.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    places = scratch.table(addressed.select("path", "blob"), "places")
+    repeated = places.groupBy("blob").agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1").select("blob", "first", F.lit(True).alias("repeated"))
+    repeated = scratch.table(repeated, "repeated")
+    rows = addressed.join(broadcast_if_small(repeated), "blob", "left").filter(F.col("repeated").isNull() | F.col("path").eqNullSafe(F.col("first")))
+    if ledger is not None:
+        known = ledger.filter(F.col("rules") == rules).select("blob")
+        unseen = scratch.table(places.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        rows = rows.join(broadcast_if_small(unseen), "blob", "left_semi")
+    found = rows.select("blob", F.lit(rules).alias("rules"), _findings(F.col("text"), whole).alias("findings"))
+    new = scratch.table(found.dropDuplicates(["blob"]), "ledger")
+    scratch.drop("repeated", "unseen")
+    return new, places
+
+
+def _back(places: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``path, blob, findings``: what the ledger has, joined back to all paths. Hits are written, so that Spark knows their size and splits a blob that very many paths hold."""
+    hits = ledger.filter(F.size("findings") > 0).select("blob", "findings").join(places.select("blob").distinct(), "blob", "left_semi")
+    hits = Scratch(places.sparkSession).table(hits, "hits")
+    none = F.array().cast(hits.schema["findings"].dataType)
+    return places.join(broadcast_if_small(hits), "blob", "left").select("path", "blob", F.coalesce("findings", none).alias("findings"))
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULES, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Scan ``versions(path, text)``, of which a path may have many, against ``ledger``.
 
     Returns the new rows of the ledger, as a written table, and ``path, blob, findings`` for each row
     of ``versions``. A null text counts as empty. Null and repeated paths and rows are kept as they
-    are; equal texts are scanned once. An empty table gives empty results; other columns are ignored.
-    With ``whole`` spans of private keys cover the keys, and ``rules`` is another version.
+    are. An empty table gives empty results; other columns are ignored. With ``whole`` spans of private
+    keys cover the keys, and ``rules`` is another version. A text's cost is linear in its length and in
+    its number of spans; very long texts are searched whole.
+
+    Texts are read twice, for their addresses and for the scan, and stay where they are: of a blob
+    that several rows hold, only rows of its least path are scanned, and which blobs are repeated or
+    unseen is a table of addresses, broadcast within a checked size (beyond it, texts meet them by
+    exchange). A blob's findings are kept once.
     """
     rules = f"{rules}-whole" if whole else rules
-    spark = versions.sparkSession
-    addressed = versions.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    known = None if ledger is None else ledger.filter(F.col("rules") == rules).select("blob", "rules", "findings")
-    blobs = addressed.select("blob", "text")
-    if known is not None:
-        blobs = blobs.join(known, "blob", "left_anti")
-    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    new = Scratch(spark).table(unseen.select("blob", F.lit(rules).alias("rules"), _findings(F.col("text"), whole).alias("findings")), "ledger")
-    whole = new if known is None else known.unionByName(new)
-    found = whole.filter(F.size("findings") > 0).select("blob", "findings")
-    none = F.array().cast(found.schema["findings"].dataType)
-    return new, addressed.select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("findings", none).alias("findings"))
+    new, places = _scan_unseen(versions, ledger, rules, whole)
+    return new, _back(places, new if ledger is None else ledger.filter(F.col("rules") == rules).select("blob", "rules", "findings").unionByName(new))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each stretch of ``text`` that findings cover replaced by ``mark``, private keys whole; other columns and null texts stay."""
-    ledger, _ = scan_versions(docs.select(F.lit(None).cast("string").alias("path"), "text"), whole=True)
-    places = F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    found = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), places.alias("__found"))
-    rows = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(broadcast_if_small(found, 100_000), "__blob", "left")
-    text = F.col("text")
+    """``docs(doc_id, text, ...)`` with each stretch of ``text`` that findings cover replaced by ``mark``, private keys whole; other columns and null texts stay.
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], cut, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(F.array_sort("__found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(done)).select(*docs.columns)
+    Null and repeated ids and equal rows are rows like others; an empty table gives no rows; a column
+    of any other name stays as it is. Very long texts and texts of many secrets cost time in proportion.
+    """
+    scratch = Scratch(docs.sparkSession)
+    ledger, _ = scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), whole=True)
+    places = F.transform("findings", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = scratch.table(ledger.filter(F.size("findings") > 0).select("blob", places.alias("found")), "found")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("blob"))
+    rows = rows.join(broadcast_if_small(found), "blob", "left")
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(blotted(F.col("row.text"), F.col("found"), mark))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = scan_versions(documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text"))
+    """Digest columns of all spans of secrets in ``documents``, read back from the stored ledger.
+
+    The ledger lies where the session's ``nearfield.secrets.ledger`` says, so that a later run scans
+    new texts only; where that is unset, in a folder of this run, so that all texts are new.
+    """
+    uri = spark.conf.get("nearfield.secrets.ledger", None) or Scratch(spark).folder("ledger")
+    found = Ledger(spark, uri).scan(documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text"))
     base = F.filter("findings", lambda s: s["order"] < len(BASE_KINDS))
     counts = [count_kind(F.col("findings"), k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(joined(base, True), 256).alias("base_sha256"), joined(F.col("findings"), True).alias("spans"))

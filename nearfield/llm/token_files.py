@@ -63,7 +63,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = E
 
     A null text counts as empty and gives the end id alone. Null ids come first. Repeated ids are
     separate documents, ordered by text. An empty table gives an empty manifest. Other columns are
-    ignored. Ids must fit 64 bits. Memory: a batch of texts and eight bytes a document of the partition.
+    ignored. Ids must fit 64 bits. Memory: a batch of texts and eight bytes a document of the partition;
+    a very long text is encoded whole.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -105,7 +106,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int = E
 def read_token_files(spark: SparkSession, uri: str, schema: str, rows: Callable[[list, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
     """A DataFrame of what ``rows(doc ids, starts in the whole output, local offsets, mapped ids)`` makes of each partition's files.
 
-    ``rows`` gets at most 4,096 documents at a time; the mapped array has all ids of the partition.
+    ``rows`` gets at most 4,096 documents at a time; the mapped array has all ids of the partition. A folder of an empty table gives no rows.
     """
     manifest = spark.read.parquet(f"{uri}/manifest")
 
@@ -121,7 +122,9 @@ def read_token_files(spark: SparkSession, uri: str, schema: str, rows: Callable[
                     own = [k if v else None for k, v in zip(keys[some].tolist(), valid[some], strict=True)]
                     yield pa.RecordBatch.from_pydict(rows(own, first + offsets[some], offsets[some.start : some.stop + 1], ids))
 
-    return manifest.select("part", "n_docs", "first_id", "width").repartition(F.col("part")).mapInArrow(read, schema)
+    parts = manifest.select("part", "n_docs", "first_id", "width")
+    # A number of partitions given by hand isn't coalesced: a task for each file, however short the manifest.
+    return parts.repartitionByRange(max(1, parts.count()), "part").mapInArrow(read, schema)
 
 
 def _texts_of_ids(keys: list, starts: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> dict:

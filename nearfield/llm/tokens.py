@@ -5,6 +5,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from nearfield.llm.recent import Recent, held
 
@@ -89,6 +94,17 @@ class Encoder:
         return self.feed.join(lines)
 
 
+def token_counts(path: str, end: int = 1) -> Callable[[Column], Column]:
+    """A function of a text column: its tokens and ``end`` more for the ids that end a document; a null text counts as empty."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        code = encoder(path)
+        return pd.Series([len(code.encode(t)) // 4 + end if t else end for t in texts], dtype="int64")
+
+    return lambda text: count(text.cast("string"))
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker, so that its cache serves all tasks of the worker."""
     return held(f"encoder {path}", lambda: Encoder(path))

@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, bin int, line string, comp string, epoch int, range string, score string, gram string, `blob` string, path string, host string, row string"
 EXTRA = (1, "k", 2, "l", "c", 7, "r", "s", "g", "b", "p", "h", "w")
 

@@ -36,7 +36,8 @@ def test_language_of_odd_texts(spark, docs, rows, with_repeats, no_docs):
 
 def test_backoff_is_word_first():
     vec = lambda *x: np.array(x, np.float32)
-    model = language_id.Model(["a", "b"], [{"cat": vec(-1, -9)}, {"t": vec(-5, -1)}, {}, {"<ca": vec(-2, -1), "cat": vec(-4, -1)}, {}, {}])
+    rows = np.array([vec(-1, -9), vec(-5, -1), vec(-2, -1), vec(-4, -1)])
+    model = language_id.Model(["a", "b"], [{"cat": 0}, {"t": 1}, {}, {"<ca": 2, "cat": 3}, {}, {}], rows)
     assert model.score("cat").tolist() == [-1, -9] and model.score("cats").tolist() == [-3, -1] and model.score("tt").tolist() == [-5, -1] and model.score("zz").tolist() == [0, 0]
 
 
@@ -126,7 +127,7 @@ def test_mixture_matches_its_budgets(spark):
     docs = spark.createDataFrame([(*r, 1, "h") for r in rows], "doc_id long, text string, lang string, source string, epoch int, range string").repartition(5)
     taken, leaves = mixing.mix(docs, budget=6000, epochs=3)
     leaf = {(r.domain, r.lang, r.source): r for r in leaves.collect()}
-    got = taken.withColumn("domain", mixing.default_domain(F.col("source"))).withColumn("t", mixing.default_tokens(F.col("text"))).collect()
+    got = taken.withColumn("domain", mixing.domain_of(F.col("source"), mixing.DOMAINS)).withColumn("t", mixing.default_tokens(F.col("text"))).collect()
     spent, times = dict.fromkeys(leaf, 0), {}
     for r in got:
         spent[r.domain, r.lang, r.source] += r.t
@@ -140,7 +141,7 @@ def test_mixture_matches_its_budgets(spark):
         assert e == 0 or (d, e - 1) in times
     # The prefix itself, from the same hashes.
     order = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("e", F.explode(F.array(*map(F.lit, range(3))))).withColumn("at", F.xxhash64(F.lit(mixing.SEED), "e", "h"))
-    order = order.select("doc_id", "e", "at", "h", mixing.default_domain(F.col("source")).alias("d"), "lang", "source", mixing.default_tokens(F.col("text")).alias("t")).collect()
+    order = order.select("doc_id", "e", "at", "h", mixing.domain_of(F.col("source"), mixing.DOMAINS).alias("d"), "lang", "source", mixing.default_tokens(F.col("text")).alias("t")).collect()
     expected = set()
     for key in leaf:
         own = sorted((r for r in order if (r.d, r.lang, r.source) == key), key=lambda r: (r.e, (r["at"] % (1 << 64)) >> 54, r["at"], r.h))
