@@ -51,8 +51,8 @@ def _width(value: Column, kind: DataType) -> Column:
 
 
 def table_bytes(table: DataFrame) -> int:
-    """The bytes of a written table's values in memory, about: what its broadcast takes."""
-    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(16))
+    """The bytes that the broadcast of a written table takes, about: those of its values, and of a hash table's entry for each row."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(48))
     return table.agg(F.sum(row.cast("long"))).first()[0] or 0
 
 

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import BROADCAST_BYTES, Scratch, bound_batches, documents, null_safe_join, table_bytes
-from nearfield.llm.recent import Recent, held
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -32,18 +31,12 @@ PRIOR = 20.0
 SEED = 5
 
 
-class _Hashes(Recent):
-    def make(self, token: str) -> int:
-        from xxhash import xxh32_intdigest
-
-        return xxh32_intdigest(token)
-
-
 def features(text: str | None) -> np.ndarray:
     """Buckets of the words and marks of a whole text, then those of their pairs, which follow the first ``BUCKETS``."""
-    codes = held("quality hashes", lambda: _Hashes(300_000))
+    from xxhash import xxh32_intdigest
+
     tokens = TOKEN.findall(text.lower()) if text else ()
-    one = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+    one = np.fromiter(map(xxh32_intdigest, tokens), np.int64, len(tokens))
     two = (one[:-1] * 0x9E3779B1 + one[1:] * 0x85EBCA77) >> 12
     return np.concatenate([one & (BUCKETS - 1), (two & (BUCKETS - 1)) + BUCKETS])
 

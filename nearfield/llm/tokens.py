@@ -56,6 +56,19 @@ def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+class _Lengths(_Words):
+    """The number of a word's ids."""
+
+    def make(self, word: str) -> int:
+        if (plain := _PLAIN.fullmatch(word)) is None or not plain[2]:
+            return len(super().make(word)) // 4
+        if plain[2] not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[plain[2]] = self.tokenizer.encode(plain[2], add_special_tokens=False).ids
+        return self[plain[1]] + len(self.marks[plain[2]])
+
+
 class Encoder:
     """Encodes whole texts to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
@@ -65,7 +78,7 @@ class Encoder:
     kind of tokenizer is encoded as one piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, counts: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,18 +87,34 @@ class Encoder:
         self.by_word = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         marks: dict[str, bytes] = {}
-        self.first, self.rest = _Words(self.tokenizer, "", marks), _Words(self.tokenizer, " ", marks)
+        words = _Lengths if counts else _Words
+        self.first, self.rest = words(self.tokenizer, "", marks), words(self.tokenizer, " ", marks)
         self.feed = self._encode("\n")
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def _encode(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _whole(self, text: str) -> bool:
+        return not self.by_word or bool(_OTHER_SPACE.search(text)) or any(x in text for x in _DOUBLE) or text[-1] in " \n" or any(x in text for x in self.added)
+
+    def count(self, text: str) -> int:
+        """The number of ids, by an encoder that was made with ``counts``."""
+        if not text:
+            return 0
+        if self._whole(text):
+            return len(self._encode(text)) // 4
+        n, rest, lines = 0, self.rest.__getitem__, text.split("\n")
+        for line in lines:
+            head, *words = line.split(" ")
+            n += (self.first[head] if head else 0) + sum(map(rest, words))
+        return n + (len(lines) - 1) * (len(self.feed) // 4)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_word or _OTHER_SPACE.search(text) or any(x in text for x in _DOUBLE) or text[-1] in " \n" or any(x in text for x in self.added):
+        if self._whole(text):
             return self._encode(text)
         lines, rest = [], self.rest.__getitem__
         for line in text.split("\n"):
@@ -99,8 +128,8 @@ def token_counts(path: str, end: int = 1) -> Callable[[Column], Column]:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        code = encoder(path)
-        return pd.Series([len(code.encode(t)) // 4 + end if t else end for t in texts], dtype="int64")
+        code = held(f"counter {path}", lambda: Encoder(path, counts=True))
+        return pd.Series([code.count(t) + end if t else end for t in texts], dtype="int64")
 
     return lambda text: count(text.cast("string"))
 
