@@ -12,8 +12,8 @@ the links found so far leave in different components are compared with each othe
 copies thus costs comparisons in proportion to its size, and no link between different components is
 lost.
 
-No task gets a whole frequent n-gram: its sets are dealt into parts of about ``PART`` sets, each with
-a pivot of its own, and what is left to compare meets in cells of two parts.
+No task gets a whole frequent n-gram: its sets are dealt into parts of about ``PART`` sets, its pivot is
+the greatest of what each task finds, and what is left to compare meets in cells of two parts.
 """
 
 from __future__ import annotations
@@ -176,12 +176,17 @@ def _heads(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key long, head array<long>, levels array<byte>")
 
 
+def _widest() -> Column:
+    """Of an n-gram's sets the pivot is the one with the widest reach for its size."""
+    return F.struct((F.col("reach").cast("long") * 1000 / F.col("n")).cast("int").alias("share"), "n", "key", "reach")
+
+
 def _shared(heads: DataFrame, classes: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """``gram, part, parts, key, n, reach, pivot`` of the prefix n-grams that different sets have, one row of each class.
 
     A partner whose first common n-gram is this one has at most ``reach`` n-grams: beyond it the
     n-grams that remain here are too few. One exchange serves all: the sets of an n-gram, or of a part
-    of a frequent one, meet and tell whether they differ, and which of them is the part's ``pivot``.
+    of a frequent one, meet and tell whether they differ, and which of them is its ``pivot``.
     """
     several = broadcast_if_small(classes).withColumnRenamed("n", "size")
     one = heads.join(several, "key", "left").filter(F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
@@ -192,7 +197,7 @@ def _shared(heads: DataFrame, classes: DataFrame, percent: int, repeated: bool)
     each = each.select(F.col("g.head").alias("gram"), "key", F.col("n").cast("int").alias("n"), reach.alias("reach"), parts.alias("parts"))
     each = each.withColumn("part", F.pmod(F.hash("key"), F.col("parts")))
     group = Window.partitionBy("gram", "part")
-    pivot = F.max(F.struct((F.col("reach").cast("long") * 1000 / F.col("n")).cast("int").alias("share"), "n", "key", "reach")).over(group)
+    pivot = F.max(_widest()).over(group)
     met = each.withColumn("least", F.min("key").over(group)).withColumn("most", F.max("key").over(group)).withColumn("pivot", pivot)
     met = met.filter((F.col("parts") > 1) | (F.col("least") < F.col("most")))
     met = met.select("gram", "part", "parts", "key", "n", "reach", F.struct("pivot.key", "pivot.n", "pivot.reach").alias("pivot"))
@@ -247,7 +252,7 @@ def _fits(a: str = "", b: str = "2") -> Column:
     return (F.col(f"n{a}") <= F.col(f"reach{b}")) & (F.col(f"n{b}") <= F.col(f"reach{a}"))
 
 
-def _in_cells(rows: DataFrame, *columns: str) -> DataFrame:
+def _in_cells(rows: DataFrame, scratch: Scratch, *columns: str) -> DataFrame:
     """Every two of ``rows(gram, key, n, reach, ...)`` with one n-gram that may reach the threshold, each once: the second with ``2`` after its columns' names.
 
     The rows of an n-gram are dealt into blocks of about ``PART``, and every two blocks meet in a
@@ -255,7 +260,7 @@ def _in_cells(rows: DataFrame, *columns: str) -> DataFrame:
     sizes and places exclude are never rows.
     """
     count = rows.groupBy("gram").count().filter(F.col("count") > PART).select("gram", F.ceil(F.col("count") / PART).cast("int").alias("blocks"))
-    held = rows.join(count, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("key", "n"), F.col("blocks")))
+    held = rows.join(broadcast_if_small(scratch.table(count, "blocks")), "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("key", "n"), F.col("blocks")))
     kept = ["key", "n", "reach", *columns]
     left = held.select("gram", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *kept)
     right = held.select("gram", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"{c}2") for c in kept])
@@ -270,7 +275,7 @@ def _pairs(x: DataFrame) -> DataFrame:
 
 def _all_links(shared: DataFrame, plan: _Plan) -> DataFrame:
     """All links: every two different sets that have an n-gram of both prefixes, as far as their sizes allow, are compared."""
-    pairs = _in_cells(shared.select("gram", "key", "n", "reach"))
+    pairs = _in_cells(shared.select("gram", "key", "n", "reach"), plan.scratch)
     first = (F.col("key") < F.col("key2")) | ((F.col("key") == F.col("key2")) & (F.col("n") < F.col("n2")))
     ordered = pairs.select(*[F.when(first, F.col(c)).otherwise(F.col(f"{c}2")).alias(c) for c in ("key", "n")], *[F.when(first, F.col(f"{c}2")).otherwise(F.col(c)).alias(f"{c}2") for c in ("key", "n")])
     return _linked(plan.scratch.table(_pairs(ordered), "every"), plan, "every")
@@ -279,13 +284,13 @@ def _all_links(shared: DataFrame, plan: _Plan) -> DataFrame:
 def _connecting_links(shared: DataFrame, plan: _Plan) -> DataFrame:
     """Links that leave the same components as all do."""
     scratch = plan.scratch
-    with_pivot = shared.select("key", "n", "reach", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("key", "n", "reach")])
-    # The pivots of an n-gram's parts are compared with the greatest of them.
-    part = shared.filter("parts > 1").select("gram", "pivot").distinct()
-    top = part.groupBy("gram").agg(F.max(F.struct("pivot.reach", "pivot.n", "pivot.key")).alias("top"))
-    of_parts = part.join(top, "gram").select(*[F.col(f"pivot.{c}").alias(c) for c in ("key", "n", "reach")], *[F.col(f"top.{c}").alias(f"{c}2") for c in ("key", "n", "reach")])
+    tops = shared.filter("parts > 1").groupBy("gram").agg(F.max(_widest()).alias("pivot"))
+    tops = scratch.table(tops.select("gram", F.struct("pivot.key", "pivot.n", "pivot.reach").alias("top")), "tops")
+    whole = shared.filter("parts = 1").withColumn("top", F.col("pivot"))
+    parted = shared.filter("parts > 1").join(broadcast_if_small(tops), "gram")
+    with_pivot = whole.unionByName(parted).select("key", "n", "reach", *[F.col(f"top.{c}").alias(f"{c}2") for c in ("key", "n", "reach")])
     differ = (F.col("key") != F.col("key2")) | (F.col("n") != F.col("n2"))
-    star = scratch.table(_pairs(with_pivot.unionByName(of_parts).filter(differ & _fits())), "star")
+    star = scratch.table(_pairs(with_pivot.filter(differ & _fits())), "star")
     links = _linked(star, plan, "star")
     comps = scratch.table(connected_components(links, scratch, "first"), "comps")
     member = shared.select("gram", "key", "n", "reach").join(broadcast_if_small(comps).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -304,7 +309,7 @@ def _connecting_links(shared: DataFrame, plan: _Plan) -> DataFrame:
     least = F.when(F.col("comp") == F.col("s1.comp"), F.col("s2")).otherwise(F.col("s1.s"))
     live = scratch.table(member.join(next_, "gram").filter((reach >= F.col("n")) & (least <= F.col("reach"))).select("gram", "key", "n", "reach", "comp"), "live")
     scratch.drop("mixed", "member", "next", "shared")
-    open_ = _pairs(_in_cells(live, "comp").filter("comp <> comp2"))
+    open_ = _pairs(_in_cells(live, scratch, "comp").filter("comp <> comp2"))
     known = star.unionByName(star.select(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb")))
     open_ = scratch.table(open_.join(known, ["a", "na", "b", "nb"], "left_anti"), "rest")
     found = links.unionByName(_linked(open_, plan, "rest"))
