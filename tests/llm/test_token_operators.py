@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import packing, token_files
 from nearfield.llm.common import Scratch
@@ -113,6 +114,52 @@ def test_packing_of_repeats_and_nothing(with_repeats, no_docs):
     assert packing.pack(no_docs, default_tokenizer()).count() == 0
 
 
-def test_carry_bounds_a_node_and_keeps_rows(docs):
-    few = packing.pack(docs, default_tokenizer(), 64, fan=2, carry=1)
-    assert few.count() == packing.pack(docs, default_tokenizer(), 64).count()
+def test_nodes_are_bounded_and_rows_stay(spark, monkeypatch):
+    """Levels of more bins than a node takes have more nodes; every round's nodes stay within about that bound."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, "word " * rng.randint(0, 60)) for k in range(3000)], "doc_id long, text string").repartition(16)
+    seen, plain = [], packing._merge
+    monkeypatch.setattr(packing, "_merge", lambda bins, *rest: (seen.append([r["count"] for r in bins.groupBy("node").count().collect()]), plain(bins, *rest))[1])
+    monkeypatch.setattr(packing, "PIECES_HELD", 50)
+    got = packing.pack(docs, default_tokenizer(), 64, fan=4, nearly=0, node=100).collect()
+    assert seen and all(max(own) <= 200 for own in seen)
+    fills: dict = {}
+    for r in got:
+        fills.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == len({(r.doc_id, r.piece) for r in got}) and {r.doc_id for r in got} == set(range(3000))
+    for own in fills.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 64
+    lower = sum(r.length for r in got) / 64
+    assert len(fills) <= 1.1 * lower  # chunks of 50 pieces and nodes of 100 bins leave some room
+
+
+def test_nearly_full_bins_are_final(spark):
+    docs = spark.createDataFrame([(k, "word " * (k % 50)) for k in range(500)], "doc_id long, text string").repartition(8)
+    rows = packing._pieces(docs, default_tokenizer(), 64, 2, False)
+    early = {r.bin for r in rows.collect() if r.fill >= 64 - packing.NEARLY}
+    got = packing.pack(docs, default_tokenizer(), 64)
+    assert early and early <= {r.sequence_id for r in got.collect()}
+
+
+def test_files_are_read_in_as_many_tasks(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(400)], "doc_id long, text string")
+    uri = Scratch(spark).folder("files")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = token_files.write_token_files(docs, uri, default_tokenizer()).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = token_files.token_rows(spark, uri).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert n == 5 and len({r.task for r in got}) == 5 and len(got) == 400
+
+
+def test_counting_encoder(whole):
+    rng = random.Random(8)
+    code = Encoder(default_tokenizer(), counts=True)
+    for _ in range(3000):
+        text = "".join(rng.choices("aaabbé ñ \n .,!'-1²½ 9あ zZß", k=rng.randint(0, 40)))
+        assert code.count(text) == len(whole(text)), repr(text)
