@@ -36,6 +36,8 @@ class Collection:
         self._version = 0
         self._kind, self.params = IndexType.NONE, IndexParams()
         self._graphs: DataFrame | None = None
+        #: Into how many shards the graphs deal records by hash; None for graphs that were loaded.
+        self._shards: int | None = None
         self._changed: DataFrame | None = None
         self._cells: tuple[int, ivf.IvfModel, DataFrame] | None = None
 
@@ -43,16 +45,16 @@ class Collection:
 
     def _check(self, record_id: str, vector: np.ndarray) -> None:
         if not record_id:
-            raise InvalidIdentifierError("record identifier must not be empty")
+            raise InvalidIdentifierError("a record needs an id of at least one character")
         if len(vector) != self.dimensionality:
-            raise DimensionMismatchError(f"vector has {len(vector)} components, the collection {self.dimensionality}")
+            raise DimensionMismatchError(f"{len(vector)} components where the collection takes {self.dimensionality}")
         if not np.isfinite(vector).all():
             raise InvalidValueError(f"component {int(np.flatnonzero(~np.isfinite(vector))[0])} is not finite")
 
     def insert(self, id: str, vector, metadata: dict | None = None) -> None:  # noqa: A002
         """Insert a record or replace the one with this id, vector and metadata both."""
         if not isinstance(id, str):
-            raise TypeError("record identifier must be a string")
+            raise TypeError("an id must be a string")
         values, meta = to_vector(vector), encode_meta(metadata)
         self._check(id, values)
         self._write({id: (values, meta)})
@@ -60,13 +62,13 @@ class Collection:
     def insert_batch(self, batch) -> None:
         """Insert 1 to 10,000 records ``(id, vector)`` or ``(id, vector, metadata)``, all or none; of equal ids the last wins."""
         if isinstance(batch, (str, bytes, dict)) or not hasattr(batch, "__iter__"):
-            raise TypeError("records must be an iterable of tuples")
+            raise TypeError("a batch is an iterable of records")
         rows = []
         for k, record in enumerate(batch):
             if not isinstance(record, (tuple, list)) or len(record) not in (2, 3):
-                raise TypeError(f"record {k} must be (id, vector) or (id, vector, metadata)")
+                raise TypeError(f"record {k} is not (id, vector) or (id, vector, metadata)")
             if not isinstance(record[0], str):
-                raise TypeError(f"identifier of record {k} must be a string")
+                raise TypeError(f"the id of record {k} is not a string")
             rows.append((record[0], to_vector(record[1]), encode_meta(record[2]) if len(record) == 3 else None))
         if not 1 <= len(rows) <= MAX_BATCH:
             raise InvalidArgumentError(f"a batch must have 1 to {MAX_BATCH} records, not {len(rows)}")
@@ -171,8 +173,26 @@ class Collection:
                 raise InvalidParameterError(f"nlist must be 0 or from 1 to the {n} records")
             if kind is IndexType.NONE:
                 raise InvalidArgumentError("an index must be hnsw or ivf")
-            graphs = self._scratch.table(hnsw.build(self._base, self.metric, wanted, hnsw.shards_for(n)), f"graphs-{self._version}-{wanted.m}") if kind is IndexType.HNSW else None
-            self._kind, self.params, self._graphs, self._changed, self._cells = kind, wanted, graphs, None, None
+            self._kind, self.params, self._graphs, self._changed, self._cells = kind, wanted, None, None, None
+            if kind is IndexType.HNSW:
+                self._build_graphs(n)
+
+    def _build_graphs(self, count: int) -> None:
+        self._shards = hnsw.shards_for(count)
+        graphs = hnsw.build(self._base, self.metric, self.params, self._shards)
+        self._graphs, self._changed = self._scratch.table(graphs, f"graphs-{self._version}-{self.params.m}"), None
+
+    def _settle(self, count: int) -> int:
+        """Bring records written since into the graphs when they are many; returns how many are left beside them."""
+        changed = self._changed.count() if self._changed is not None else 0
+        if not planner.must_refresh(changed, count):
+            return changed
+        if self._shards is None or hnsw.shards_for(count) > 2 * self._shards:
+            self._build_graphs(count)
+        else:
+            graphs = hnsw.refresh(self._graphs, self._base, self._changed, self.metric, self.params, self._shards)
+            self._graphs, self._changed = self._scratch.table(graphs, f"graphs-{self._version}-again"), None
+        return 0
 
     def cells(self) -> tuple[ivf.IvfModel, DataFrame]:
         """The model and postings of the present version; they are made when first asked for."""
@@ -200,22 +220,46 @@ class Collection:
             raise DimensionMismatchError(f"query has {len(q)} components, the collection {self.dimensionality}")
         if not np.isfinite(q).all():
             raise InvalidValueError("query has a component that is not finite")
-        k = min(int(k), planner.MOST_K)
         with self._lock:
             n = self.count()
             if not n:
                 return []
-            base, kind, graphs, changed = self._base, self._kind, self._graphs, self._changed
+            k = min(int(k), n)  # a limit of more would take memory for as many rows
+            kind = self._kind
+            extra = self._settle(n) if kind is IndexType.HNSW else 0
+            base, graphs, changed = self._base, self._graphs, self._changed
             cells = self.cells() if planner.uses_index(kind, k, n) and kind is IndexType.IVF else None
         if not planner.uses_index(kind, k, n):
             found = knn(base, q, k, self.metric)
         elif kind is IndexType.IVF:
             found = ivf.search(cells[1], cells[0], q, k, int(params.get("nprobe", 1)), self.metric)
         else:
-            extra = changed.count() if changed is not None else 0
             found = planner.hnsw_query(base, graphs, changed, extra, q, k, int(params.get("ef_search", 50)), self.metric)
         return planner.with_fallback(found, base, q, k, n, self.metric)
 
-    def query_batch(self, queries: DataFrame, k: int) -> DataFrame:
-        """``query_id, rank, id, distance``: the exact ``k`` nearest records of each of ``queries(query_id, vector)``."""
-        return knn_batch(self.table(), queries, k, self.metric)
+    def query_batch(self, queries: DataFrame, k: int, exact: bool = True, **params) -> DataFrame:
+        """``query_id, rank, id, distance``: the ``k`` nearest records of each of ``queries(query_id, vector)``.
+
+        They are exact unless ``exact`` is false and there is an index; then its ``nprobe`` or ``ef_search``
+        tells how far each query looks, block by block of queries.
+        """
+        base, n = self.table(), self.count()
+        if exact or not planner.uses_index(self._kind, k, n):
+            return knn_batch(base, queries, k, self.metric)
+        with self._lock:
+            kind = self._kind
+            # Graphs take all changes in first: a batch has no place for records beside them.
+            if kind is IndexType.HNSW and self._changed is not None:
+                self._build_graphs(n)
+            graphs, cells = self._graphs, self.cells() if kind is IndexType.IVF else None
+        parts = max(1, -(-queries.count() // planner.QUERIES))
+        out = None
+        for p in range(parts):
+            some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "vector")
+            rows = [(r["query_id"], r["vector"]) for r in some.collect()]
+            if kind is IndexType.IVF:
+                part = planner.ivf_batch(cells[1], cells[0], rows, k, int(params.get("nprobe", 1)), self.metric)
+            else:
+                part = planner.hnsw_batch(base, graphs, rows, k, int(params.get("ef_search", 50)), self.metric)
+            out = part if out is None else out.unionByName(part)
+        return out

@@ -16,14 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import np_distance
 from nearfield.types import DistanceMetric, IndexParams
 
 #: Records of a shard, about. A graph of this size is built in some seconds.
-SHARD = 1_250
+SHARD = 5_000
+#: Nodes whose distances to all before them are computed at a time.
+BLOCK = 256
 GRAPHS = "shard int, graph binary"
 
 
@@ -72,36 +74,48 @@ class Graph:
                         heapq.heappop(best)
         return sorted((-d, -n) for d, n in best)
 
-    def diverse(self, base: int, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Of candidates by distance to ``base``, those that lie nearer to it than to every one taken before."""
-        taken: list[int] = []
-        for d, n in found:
-            if len(taken) == most:
+    def diverse(self, near: np.ndarray, found: np.ndarray, most: int) -> list[int]:
+        """Of nodes ``found`` in order of their distances ``near`` to a base, those that lie nearer to it than to every one taken before; free places go to the nearest others."""
+        between = matrix(self.metric, self.vectors[found], self.vectors[found])
+        taken, least, at = [], np.full(len(found), np.inf), 0
+        while len(taken) < most:
+            open_ = near[at:] < least[at:]
+            if not open_.any():
                 break
-            if n != base and (not taken or d < min(self.far(self.vectors[n], taken))):
-                taken.append(n)
+            at += int(open_.argmax())
+            taken.append(int(found[at]))
+            least = np.minimum(least, between[at])
+            at += 1
+        for other in found.tolist() if len(taken) < most else ():
+            if other not in taken:
+                taken.append(other)
+                if len(taken) == most:
+                    break
         return taken
 
-    def add(self, node: int, m: int, ef: int) -> None:
-        query, top = self.vectors[node], self.levels[node]
+    def add(self, node: int, near: np.ndarray, members: list[np.ndarray], m: int, ef: int) -> None:
+        """Link ``node`` in each of its layers to diverse ones of the ``ef`` nearest nodes before it, given its distances ``near`` to all of them, and those back to it."""
+        top = self.levels[node]
         self.links[node] = [[] for _ in range(top + 1)]
         if self.entry < 0:
             self.entry = node
             return
-        near = list(zip(self.far(query, [self.entry]), [self.entry], strict=True))
-        for layer in range(self.levels[self.entry], top, -1):
-            near = self.layer(query, near, 1, layer)[:1]
         for layer in range(min(top, self.levels[self.entry]), -1, -1):
-            near = self.layer(query, near, ef, layer)
-            own = self.diverse(node, near, m)
+            before = members[layer][: np.searchsorted(members[layer], node)]
+            if len(before) > ef:
+                before = before[np.argpartition(near[before], ef - 1)[:ef]]
+            before = before[np.lexsort((before, near[before]))]
+            own = self.diverse(near[before], before, m)
             self.links[node][layer] = own
             most = 2 * m if layer == 0 else m
             for other in own:
                 back = self.links[other][layer]
                 back.append(node)
                 if len(back) > most:
-                    ranked = sorted(zip(self.far(self.vectors[other], back), back, strict=True))
-                    self.links[other][layer] = self.diverse(other, ranked, most)
+                    found = np.array(back)
+                    far = matrix(self.metric, self.vectors[other : other + 1], self.vectors[found])[0]
+                    order = np.lexsort((found, far))
+                    self.links[other][layer] = self.diverse(far[order], found[order], most)
         if top > self.levels[self.entry]:
             self.entry = node
 
@@ -122,23 +136,56 @@ class Graph:
         return Graph(ids, vectors, levels, links, entry, DistanceMetric(metric))
 
 
+def matrix(metric: DistanceMetric, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What orders the rows of ``b`` by their distance to each row of ``a``, by one matrix product: squares for the Euclidean distance."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    with np.errstate(all="ignore"):
+        dots = x @ y.T
+        if metric is DistanceMetric.DotProduct:
+            return np.nan_to_num(dots, nan=np.inf)
+        xx, yy = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)
+        if metric is DistanceMetric.Cosine:
+            return np.nan_to_num(1 - dots / np.sqrt(xx * yy), nan=np.inf)
+        return np.maximum(xx + yy - 2 * dots, 0)
+
+
 def build_graph(ids: list[str], vectors: np.ndarray, metric: DistanceMetric, params: IndexParams) -> Graph:
-    """The graph of records, which are added in ascending order of their ids."""
+    """The graph of records, which are added in ascending order of their ids.
+
+    A node's candidates in a layer are its nearest nodes among those before it. They are found
+    exactly, by matrix products of ``BLOCK`` nodes at a time, rather than by searching the graph.
+    """
     order = sorted(range(len(ids)), key=lambda i: ids[i].encode())
     ids, vectors = [ids[i] for i in order], vectors[order]
-    graph = Graph(ids, vectors, [level_of(x, params.seed, params.m) for x in ids], [[] for _ in ids], -1, metric)
-    for node in range(len(ids)):
-        graph.add(node, params.m, params.ef_construction)
+    levels = [level_of(x, params.seed, params.m) for x in ids]
+    graph = Graph(ids, vectors, levels, [[] for _ in ids], -1, metric)
+    members = [np.flatnonzero(np.array(levels) >= layer) for layer in range(max(levels, default=0) + 1)]
+    for start in range(0, len(ids), BLOCK):
+        end = min(len(ids), start + BLOCK)
+        near = matrix(metric, vectors[start:end], vectors[:end])
+        for node in range(start, end):
+            graph.add(node, near[node - start], members, params.m, params.ef_construction)
     return graph
 
 
-def shards_for(count: int, size: int = SHARD) -> int:
-    return max(1, -(-count // size))
+def shards_for(count: int, size: int | None = None) -> int:
+    return max(1, -(-count // (size or SHARD)))
+
+
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+
+
+def refresh(graphs: DataFrame, records: DataFrame, changed: DataFrame, metric: DistanceMetric, params: IndexParams, shards: int) -> DataFrame:
+    """``graphs`` with those shards built anew that ``changed(id)`` touches: new records are inserted, replaced ones moved, and deleted ones gone. At most one number a shard is broadcast."""
+    touched = F.broadcast(changed.select(shard_of(shards).alias("shard")).distinct())
+    some = records.withColumn("shard", shard_of(shards)).join(touched, "shard", "left_semi").drop("shard")
+    return graphs.join(touched, "shard", "left_anti").select("shard", "graph").unionByName(build(some, metric, params, shards))
 
 
 def build(records: DataFrame, metric: DistanceMetric, params: IndexParams, shards: int) -> DataFrame:
     """``shard, graph`` of all shards. Shards go to partitions by range, so that none gets two while another idles."""
-    dealt = records.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).repartitionByRange(shards, "shard")
+    dealt = records.select("id", "vector", shard_of(shards).alias("shard")).repartitionByRange(shards, "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}

@@ -19,8 +19,8 @@ from nearfield.operators.knn import knn
 from nearfield.types import DistanceMetric
 
 ITERATIONS = 12
-#: Centroids are a model on the driver: their bytes are checked against this before a build.
-MOST_BYTES = 64 << 20
+#: Centroids are a model on the driver: their bytes are checked against this before a build. Half a gigabyte holds the default nlist of a billion records of 4,096 components.
+MOST_BYTES = 512 << 20
 
 
 def effective_nlist(nlist: int, count: int) -> int:
@@ -106,10 +106,14 @@ class IvfModel:
 
 
 def train(records: DataFrame, nlist: int, seed: int, iterations: int = ITERATIONS) -> IvfModel:
-    """Lloyd's rounds from the seeded start until the means stay, at most ``iterations``."""
+    """Lloyd's rounds from the seeded start until the means stay, at most ``iterations``.
+
+    A model's size is known before any of it comes to the driver: ``nlist`` vectors. One of more than ``MOST_BYTES`` is refused.
+    """
+    dim = (records.select(F.max(F.size("vector"))).first()[0] or 0) if nlist > MOST_BYTES // (4 * 65_536) else 0
+    if 4 * nlist * dim > MOST_BYTES:
+        raise MemoryError(f"{4 * nlist * dim} bytes of centroids exceed {MOST_BYTES}; ask for a smaller nlist")
     now = initial_centroids(records, nlist, seed)
-    if now.nbytes > MOST_BYTES:
-        raise MemoryError(f"{now.nbytes} bytes of centroids exceed {MOST_BYTES}; ask for a smaller nlist")
     for k in range(1, iterations + 1):
         before, now = now, _means(records, now)
         if np.array_equal(before, now):

@@ -139,7 +139,7 @@ class _Best:
 def rerank(records: DataFrame, candidates: DataFrame, query: np.ndarray, k: int, metric: DistanceMetric | str) -> DataFrame:
     """The ``k`` best of the live records among ``candidates(id)``, by exact distance. Stale and repeated ids drop out.
 
-    An index returns a bounded number of candidates for a query, so they are broadcast.
+    Candidates that Spark estimates to be few are broadcast, as those of one query are; others meet the records by exchange.
     """
-    live = records.join(F.broadcast(candidates.select("id").dropDuplicates(["id"])), "id", "left_semi")
+    live = records.join(candidates.select("id").dropDuplicates(["id"]), "id", "left_semi")
     return knn(live, query, k, metric)

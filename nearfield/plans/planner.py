@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from nearfield.functions.distance import distance
 from nearfield.operators import hnsw, ivf
 from nearfield.operators.knn import knn, knn_batch, rerank, top_k
+from nearfield.operators.sizes import broadcast_if_small
 from nearfield.types import DistanceMetric, IndexType
 
+#: Queries of a batch that go to an index together.
+QUERIES = 4_096
+#: So many changed records, or this share of all, are ranked beside an index's graphs; beyond it the graphs that they touch are built anew.
+MOST_CHANGED, CHANGED_SHARE = 1_000, 0.05
 #: Spark's limit is a signed 32-bit number.
 MOST_K = (1 << 31) - 1
 
@@ -28,14 +33,19 @@ def with_fallback(found: DataFrame, records: DataFrame, query: np.ndarray, k: in
     return [(r["id"], float(r["distance"])) for r in sorted(rows, key=lambda r: (r["distance"], r["id"].encode()))]
 
 
+def must_refresh(changed: int, count: int) -> bool:
+    return changed > max(MOST_CHANGED, CHANGED_SHARE * count)
+
+
 def hnsw_query(records: DataFrame, graphs: DataFrame, changed: DataFrame | None, extra: int, query: np.ndarray, k: int, ef: int, metric: DistanceMetric) -> DataFrame:
     """Exact ranking of the graphs' candidates and of the records ``changed`` since they were built.
 
-    ``extra`` more candidates than ``k`` are taken, as many as may be stale.
+    ``extra`` more candidates than ``k`` are taken, as many as may be stale; the collection builds
+    graphs anew before these are many. What was changed is broadcast within a checked size.
     """
     found = hnsw.search(graphs, query[None], ["q"], k + extra, max(ef, k, 1)).orderBy("distance", "id").limit(k + extra).select("id")
     if changed is not None:
-        fresh = knn(records.join(F.broadcast(changed), "id", "left_semi"), query, k, metric).select("id")
+        fresh = knn(records.join(broadcast_if_small(changed), "id", "left_semi"), query, k, metric).select("id")
         found = found.unionByName(fresh)
     return rerank(records, found, query, k, metric)
 
@@ -55,7 +65,7 @@ def hnsw_batch(records: DataFrame, graphs: DataFrame, queries: list[tuple], k: i
     keys, vectors = [q[0] for q in queries], np.array([q[1] for q in queries], np.float32)
     found = hnsw.search(graphs, vectors, keys, k, max(ef, k, 1)).dropDuplicates(["query_id", "id"])
     asked = spark.createDataFrame([(a, [float(x) for x in b]) for a, b in queries], "query_id string, q array<float>")
-    exact = found.select("query_id", "id").join(records.select("id", "vector"), "id").join(F.broadcast(asked), "query_id")
+    exact = found.select("query_id", "id").join(records.select("id", "vector"), "id").join(broadcast_if_small(asked), "query_id")
     ranked = top_k(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("q")).alias("distance")), k)
     full = ranked.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = asked.join(full, "query_id", "left_anti").withColumnRenamed("q", "vector")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.engine import Engine
 from nearfield.functions.distance import distance, first_non_finite, norm_squared
 from nearfield.operators import hnsw, ivf, records
 from nearfield.operators.knn import knn, knn_batch, rerank
 from nearfield.plans import planner
+from nearfield.sources.crc64 import crc64
 from nearfield.sources.embeddings import embeddings
 from nearfield.sources.shared import Scratch
 from nearfield.types import DistanceMetric, IndexParams
@@ -108,11 +111,85 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("vec_id", "code", first_non_finite(F.col("vector")).alias("bad_component"))
 
 
+def _collection(spark: SparkSession, sf_dir: str, **index):
+    """A collection of the scaled embeddings, through the API."""
+    made = Engine(spark).create_collection("all", 64, "l2")
+    made.insert_dataframe(scaled(spark, sf_dir).select("id", "vector"))
+    if index:
+        made.build_index(**index)
+    return made
+
+
+def _answers(spark: SparkSession, found: list[tuple[str, float]]) -> DataFrame:
+    return spark.createDataFrame(found, "id string, distance float")
+
+
 def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection for each label."""
-    rows = embeddings(spark, sf_dir).withColumn("name", F.concat(F.lit("label-"), F.col("label")))
-    infos = rows.groupBy("name").agg(F.max(F.size("vector")).alias("dimensionality"), F.count("*").alias("record_count"))
-    return infos.select("name", "dimensionality", F.lit("Euclidean").alias("metric"), "record_count").orderBy("name")
+    """A collection for each label, made and listed by the engine."""
+    rows, engine = embeddings(spark, sf_dir), Engine(spark)
+    for label in range(10):
+        own = rows.filter(F.col("label") == label)
+        if own.limit(1).count():
+            engine.create_collection(f"label-{label}", 64, "l2").insert_dataframe(own.select("id", "vector"))
+    return engine.collections_table()
+
+
+def api_query_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of a collection without an index."""
+    rows = scaled(spark, sf_dir)
+    return _answers(spark, _collection(spark, sf_dir).query(query_vector(rows), 10))
+
+
+def api_query_ivf_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More probes than cells are all cells, so the index answers exactly."""
+    rows = scaled(spark, sf_dir)
+    return _answers(spark, _collection(spark, sf_dir, type="ivf").query(query_vector(rows), 10, nprobe=1_000_000))
+
+
+def api_query_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many neighbours as records: the scan answers, not the graphs."""
+    rows = scaled(spark, sf_dir)
+    return _answers(spark, _collection(spark, sf_dir, type="hnsw", ef_construction=32).query(query_vector(rows), 1_000_000_000))
+
+
+def api_retrain_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells are made anew for records that came after the index, and deleted ones are gone."""
+    rows = scaled(spark, sf_dir)
+    made = Engine(spark).create_collection("all", 64, "l2")
+    made.insert_dataframe(rows.filter("vec_id % 2 = 0").select("id", "vector"))
+    made.build_index("ivf")
+    made.query(query_vector(rows), 10, nprobe=4)
+    made.insert_dataframe(rows.filter("vec_id % 2 = 1").select("id", "vector"))
+    made.delete(f"rec-{QUERY_ID:06d}")
+    return _answers(spark, made.query(query_vector(rows), 10, nprobe=1_000_000))
+
+
+def api_insert_after_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written after graphs were built are found: each of a batch of queries finds itself first, through the graphs."""
+    rows = scaled(spark, sf_dir)
+    made = Engine(spark).create_collection("all", 64, "l2")
+    made.insert_dataframe(rows.filter("vec_id % 4 <> 0").select("id", "vector"))
+    made.build_index("hnsw", ef_construction=64)
+    made.insert_dataframe(rows.filter("vec_id % 4 = 0").select("id", "vector"))
+    found = made.query_batch(asked(rows), 1, exact=False, ef_search=200)
+    return found.select("query_id", "rank", "id", "distance")
+
+
+def api_snapshot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one snapshot file, written and read back."""
+    engine = Engine(spark)
+    engine.create_collection("all", 64, "l2").insert_dataframe(embeddings(spark, sf_dir).select("id", "vector"))
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver's own, read back by the driver
+        engine.save("all", f"{folder}/all.snap")
+        loaded = Engine(spark).load(f"{folder}/all.snap").table()
+        rows = loaded.select("id", norm_squared(F.col("vector")).alias("norm_squared")).collect()
+    return spark.createDataFrame(rows, "id string, norm_squared float")
+
+
+def crc64_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum's published check value, and that it can be continued."""
+    data = b"123456789"
+    return spark.createDataFrame([("whole", f"{crc64(data):016x}"), ("continued", f"{crc64(data[4:], crc64(data[:4])):016x}")], "name string, crc string")
 
 
 def allocation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +254,15 @@ def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.hnsw_batch(rows, graphs, queries, 10, 50, DistanceMetric.Euclidean)
 
 
+def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the graphs find at least nine tenths of the exact ten nearest, over all queries."""
+    rows = scaled(spark, sf_dir)
+    exact = knn_batch(rows, asked(rows), 10, "l2").select("query_id", "id")
+    found = hnsw_search(spark, sf_dir).select("query_id", "id").withColumn("hit", F.lit(1))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*") >= 0.9).alias("recalled"))
+
+
 def hnsw_full_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search as broad as the graph is exact."""
     rows = scaled(spark, sf_dir)
@@ -187,8 +273,6 @@ def hnsw_full_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records saved to Parquet with their manifest, and loaded."""
-    from nearfield.engine import Engine
-
     engine, uri = Engine(spark), Scratch(spark).folder("snapshot")
     label = F.create_map(F.lit("label"), F.struct(F.lit(1).cast("tinyint").alias("t"), F.lit(None).cast("string").alias("s"), F.col("label").cast("long").alias("i"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("boolean").alias("b")))
     engine.create_collection("all", 64, "l2").insert_dataframe(embeddings(spark, sf_dir).withColumn("meta", label))
@@ -220,8 +304,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ivf_search_nprobe4": _ivf_search(4),
     "ivf_full_probe": _ivf_search(None),
     "hnsw_search": hnsw_search,
+    "hnsw_recall": hnsw_recall,
     "hnsw_full_breadth": hnsw_full_breadth,
     "snapshot_roundtrip": snapshot_roundtrip,
+    "api_query_exact": api_query_exact,
+    "api_query_ivf_clamped": api_query_ivf_clamped,
+    "api_query_k_all": api_query_k_all,
+    "api_retrain_after_writes": api_retrain_after_writes,
+    "api_insert_after_graphs": api_insert_after_graphs,
+    "api_snapshot_file": api_snapshot_file,
+    "crc64_check": crc64_check,
 }
 
 
@@ -324,4 +416,12 @@ ORACLES: dict[str, str] = {
     "ivf_full_probe": _sql_knn("l2", 10),
     "hnsw_full_breadth": _sql_knn("l2", 10),
     "snapshot_roundtrip": f"WITH {_ROWS} SELECT id, label::BIGINT AS label, {_dot('vector', 'vector')} AS norm_squared FROM plain",
+    "hnsw_recall": f"SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % {EVERY} = 0",
+    "api_query_exact": _sql_knn("l2", 10),
+    "api_query_ivf_clamped": _sql_knn("l2", 10),
+    "api_query_k_all": _sql_knn("l2", None),
+    "api_retrain_after_writes": _sql_knn("l2", 10, f"(SELECT * FROM r WHERE vec_id <> {QUERY_ID})"),
+    "api_insert_after_graphs": _sql_batch("l2", 1),
+    "api_snapshot_file": f"WITH {_ROWS} SELECT id, {_dot('vector', 'vector')} AS norm_squared FROM plain",
+    "crc64_check": "SELECT unnest(['whole', 'continued']) AS name, '6c40df5f0b497347' AS crc",
 }

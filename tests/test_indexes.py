@@ -28,7 +28,7 @@ def test_hnsw_recall(spark):
     rng = np.random.default_rng(11)
     x, q = rng.uniform(-1, 1, (10_000, 32)).astype(np.float32), rng.uniform(-1, 1, (200, 32)).astype(np.float32)
     rows = frame(spark, x, 8).cache()
-    graphs = hnsw.build(rows, L2, IndexParams(), hnsw.shards_for(len(x))).cache()
+    graphs = hnsw.build(rows, L2, IndexParams(), hnsw.shards_for(len(x), 1_250)).cache()
     assert graphs.count() == 8
     got = planner.hnsw_batch(rows, graphs, [(f"q{k}", v.tolist()) for k, v in enumerate(q)], 10, 50, L2).collect()
     found = {}
@@ -178,3 +178,69 @@ def test_estimates_lose_no_neighbour(metric, kind):
     for a in range(len(q)):
         d = np_distance(metric, x, q[a])
         assert sorted(got[a]) == sorted((float(v), i.encode()) for v, i in zip(d, ids, strict=True))[:k]
+
+
+def test_changes_are_built_into_the_graphs(spark, monkeypatch):
+    """Few changes are ranked beside the graphs; many are built into the shards that they touch."""
+    monkeypatch.setattr(planner, "MOST_CHANGED", 20)
+    monkeypatch.setattr(hnsw, "SHARD", 200)
+    rng = np.random.default_rng(5)
+    x = {f"r{k}": rng.normal(size=8).astype(np.float32) for k in range(400)}
+    c = nf.Engine(spark).create_collection("c", 8, "l2")
+    c.insert_batch([(k, v) for k, v in x.items()])
+    c.build_index("hnsw", m=8, ef_construction=64)
+    x |= {f"s{k}": rng.normal(size=8).astype(np.float32) for k in range(10)}
+    c.insert_batch([(k, v) for k, v in x.items() if k[0] == "s"])
+    for q in (x["s3"], x["r7"]):
+        assert c.query(q, 1, ef_search=200)[0][1] == 0.0
+    assert c._changed is not None
+    x |= {f"t{k}": rng.normal(size=8).astype(np.float32) for k in range(30)}
+    c.insert_batch([(k, v) for k, v in x.items() if k[0] == "t"])
+    c.delete("r7")
+    found = c.query(x["t4"], 5, ef_search=500)
+    exact = sorted(((float(np.sqrt(((v - x["t4"]) ** 2).sum())), k) for k, v in x.items() if k != "r7"))[:5]
+    assert c._changed is None and [i for i, _ in found] == [k for _, k in exact]
+    ids = {i for r in c._graphs.collect() for i in hnsw.Graph.restore(bytes(r["graph"])).ids}
+    assert ids == set(x) - {"r7"}
+
+
+@pytest.mark.parametrize("index", ["hnsw", "ivf"])
+def test_batches_through_an_index(spark, monkeypatch, index):
+    monkeypatch.setattr(planner, "QUERIES", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    c = nf.Engine(spark).create_collection("c", 6, "l2")
+    c.insert_batch([(f"r{k}", v) for k, v in enumerate(x)])
+    queries = spark.createDataFrame([(f"q{k}", x[k].tolist()) for k in range(20)], "query_id string, vector array<float>")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    assert rows(c.query_batch(queries, 3)) == rows(c.query_batch(queries, 3, exact=False))
+    c.build_index(index)
+    assert rows(c.query_batch(queries, 3)) == rows(c.query_batch(queries, 3, exact=False, nprobe=1000, ef_search=300))
+    assert c.query_batch(queries, 300, exact=False).count() == 20 * 300
+
+
+def test_many_centroids_are_refused_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "MOST_BYTES", 1000)
+    rows = spark.createDataFrame([(f"r{k}", [float(k)] * 8) for k in range(100)], "id string, vector array<float>")
+    monkeypatch.setattr(ivf, "initial_centroids", lambda *a: pytest.fail("collected"))
+    with pytest.raises(MemoryError):
+        ivf.train(rows, 100, 1)
+
+
+def test_recall_of_a_loaded_union_of_graphs(spark, tmp_path, monkeypatch):
+    """Shards that are joined in one file still find nine tenths of the nearest."""
+    monkeypatch.setattr(hnsw, "SHARD", 300)
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-1, 1, (1200, 16)).astype(np.float32)
+    engine = nf.Engine(spark)
+    c = engine.create_collection("c", 16, "l2")
+    c.insert_batch([(f"r{k:04d}", v) for k, v in enumerate(x)])
+    c.build_index("hnsw")
+    engine.save("c", str(tmp_path / "c.snap"))
+    loaded = nf.Engine(spark).load(str(tmp_path / "c.snap"))
+    graphs = [hnsw.Graph.restore(bytes(r["graph"])) for r in loaded._graphs.collect()]
+    hits = 0
+    for q in rng.uniform(-1, 1, (50, 16)).astype(np.float32):
+        exact = {f"r{k:04d}" for k in np.argsort(((x - q) ** 2).sum(axis=1))[:10]}
+        hits += len(exact & {i for _, i in sorted(r for g in graphs for r in g.search(q, 10, 100))[:10]})
+    assert len(graphs) == 1 and hits / 500 >= 0.9

@@ -27,7 +27,8 @@ def test_crc():
 
 def filled(engine, name="c", n=40):
     c = engine.create_collection(name, 5, "cosine")
-    c.insert_batch([(f"r{i}", [(i * 31 + k) % 97 - 48 for k in range(5)], {"idx": i, "tag": f"t{i}", "d": i / 2, "b": i % 2 == 0} if i % 3 else None) for i in range(n)])
+    values = np.random.default_rng(17).normal(0, 20, (n, 5)).round(2).tolist()
+    c.insert_batch([(f"r{i}", values[i], {"place": i, "label": f"no. {i}", "half": i / 2, "even": i % 2 == 0} if i % 3 else None) for i in range(n)])
     c.insert("empty", [1, 2, 3, 4, 5], {})
     return c
 
