@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
+from nearfield.operators.sizes import BROADCAST_BYTES, broadcast_if_small, table_bytes
 from nearfield.sources.shared import Scratch, shared_dir
 
-__all__ = ["Scratch", "bound_batches", "broadcast_if_small", "documents", "null_safe_join", "shared_dir", "spread", "table_bytes", "text_or_empty"]
-
-#: A table of at most so many bytes may be broadcast.
-BROADCAST_BYTES = 24 << 20
+__all__ = ["BROADCAST_BYTES", "Scratch", "bound_batches", "broadcast_if_small", "documents", "null_safe_join", "shared_dir", "spread", "table_bytes", "text_or_empty"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,29 +35,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, test, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def _width(value: Column, kind: DataType) -> Column:
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
-    if isinstance(kind, StructType):
-        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
-    if isinstance(kind, ArrayType):
-        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType, MapType)):
-            return F.coalesce(F.aggregate(value, F.lit(16), lambda n, x: (n + _width(x, kind.elementType)).cast("int")), F.lit(16))
-        return 16 + 8 * F.coalesce(F.size(value), F.lit(0))
-    return F.lit(8)
-
-
-def table_bytes(table: DataFrame) -> int:
-    """The bytes that the broadcast of a written table takes, about: those of its values, and of a hash table's entry for each row."""
-    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(48))
-    return table.agg(F.sum(row.cast("long"))).first()[0] or 0
-
-
-def broadcast_if_small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A written ``table``, marked for broadcast if its values take at most ``most`` bytes; otherwise Spark joins it by exchange."""
-    return F.broadcast(table) if table_bytes(table) <= most else table
-
-
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let at most ``rows`` whole texts travel to a Python worker in one batch; the session's default of 10,000 takes hundreds of megabytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
