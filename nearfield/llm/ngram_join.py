@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import Scratch, bound_batches, broadcast_if_small, documents
 from nearfield.llm.components import connected_components
+from nearfield.llm.recent import forget
 
 #: Slots of the table of frequent n-grams: one byte each, whatever the input's size.
 SLOTS = 1 << 20
@@ -97,6 +98,7 @@ def _packed(docs: DataFrame, words: int, ranges: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n = [], 0
         for batch in batches:
             for grams in shingle_sets(batch.column(1).to_pylist(), words):

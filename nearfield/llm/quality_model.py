@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import BROADCAST_BYTES, Scratch, bound_batches, documents, null_safe_join, table_bytes
+from nearfield.llm.recent import forget
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -42,6 +43,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     total = np.zeros((2, 2 * BUCKETS), np.int64)
     for batch in batches:
         for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):

@@ -15,6 +15,11 @@ def held(name: str, make: Callable[[], object]):
     return _held[name]
 
 
+def forget() -> None:
+    """Give up what is held: operators without caches of their own need the room for other things."""
+    _held.clear()
+
+
 class Recent(dict):
     """Remembers what :meth:`make` gives for recent keys.
 

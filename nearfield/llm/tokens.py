@@ -15,7 +15,7 @@ from nearfield.llm.recent import Recent, held
 
 END_ID = 2
 #: Words of a generation of a cache of encoded words. It bounds a worker's memory only.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 250_000
 
 
 #: Letters, then ASCII marks: under a byte-level tokenizer's word pattern the letters are one piece, with a blank before them or not, and the marks another.
