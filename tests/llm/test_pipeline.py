@@ -19,7 +19,10 @@ def test_stages_one_by_one(spark, corpus, tmp_path):
             assert docs.columns == corpus_pipeline.COLUMNS
     before, after = held["quality classifier"]
     kept = {r.doc_id for r in after.collect()}
-    assert all((q == 1) == (d in kept) for d, q in labels.items() if before.filter(F.col("doc_id") == d).count())
+    # A draw, not a threshold: documents of a weight near the last drawn may go either way.
+    present = {r.doc_id for r in before.select("doc_id").collect()}
+    good, bad = ([d in kept for d, q in labels.items() if q == k and d in present] for k in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad) + 1, (sum(good), len(good), sum(bad), len(bad))
     before, after = held["n-gram Jaccard join"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
     sets = {d: brute.shingles(t, 5) for d, t in rows}
