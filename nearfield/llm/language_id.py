@@ -22,9 +22,18 @@ from nearfield.llm.common import bound_batches, documents
 SAMPLE = 10_000
 LONGEST = 5
 UNKNOWN = "und"
-#: Runs of letters, Unicode's categories L: what ``\w`` has besides letters is digits, other numbers, and the underscore.
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Runs of letters, Unicode's categories L: what ``\w`` has besides letters is digits, other numbers, and the underscore. The pattern that leaves out other numbers is slow and serves texts that have some.
+_NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{''.join(sorted(_NUMBERS))}]+")
+_FAST_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a whole text, in lower case."""
+    text = text.lower() if text else ""
+    return (_FAST_LETTERS if text.isascii() or _NUMBERS.isdisjoint(text) else LETTERS).findall(text)
+
+
 #: Words that a Python worker remembers the scores of.
 REMEMBERED = 300_000
 
@@ -39,7 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.setdefault(lang, Counter()).update(LETTERS.findall(text.as_py().lower()))
+            words.setdefault(lang, Counter()).update(words_of(text.as_py()))
     for lang, counts in words.items():
         keys, values = list(counts), list(counts.values())
         for i in range(0, len(keys), 50_000):
@@ -141,7 +150,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             langs, best = [], []
             for text in batch.column(1):
-                words = LETTERS.findall((text.as_py() or "").lower()) if scores is not None else ()
+                words = words_of(text.as_py()) if scores is not None else ()
                 if not words:
                     langs.append(UNKNOWN)
                     best.append(0.0)
