@@ -144,7 +144,10 @@ def _votes(kind: str, found: Column) -> Column:
         size = F.least(F.length(m) if kind in ("email", "name") else F.length(F.regexp_replace(m, "[^0-9A-Fa-f]", "")), F.lit(40))
         size = F.floor(size / 4) if kind in ("email", "name") else size
         marks = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(m, r"[\p{L}\p{N}]", ""), ""))), "")
-        left = F.when(before == "", "^").otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.right(before, F.lit(1)), r"\p{L}", "a"), r"\p{N}", "9"), r"\s", "_"))
+        # A letter, a digit, a space, a mark of ASCII as it is, or any other: so keys are few, whatever texts hold.
+        left = F.when(before == "", "^").otherwise(F.right(before, F.lit(1)))
+        for shape, name in ((r"\p{L}", "a"), (r"\p{N}", "9"), (r"\s", "_"), (r"[^\x21-\x7E]", "*")):
+            left = F.regexp_replace(left, shape, name)
         cued = F.lower(before).rlike(rf"\b(?:{CUES[kind]})")
         votes = [bit(strict | WELL_FORMED[kind](m)), bit(GAZETTEER[kind](m)), bit(cued)]
         key = F.concat_ws("\u0001", F.lit(kind), *votes, HEAD[kind](m), size.cast("string"), F.substr(marks, F.lit(1), F.lit(4)), left)
@@ -231,7 +234,7 @@ def find_personal(docs: DataFrame, threshold: float = 0.0) -> DataFrame:
     rows = rows.select("doc_id", *[c.alias(f"__{k}") for k, c in _candidates(text).items()])
     rows = scratch.table(rows.select("doc_id", F.concat(*[_votes(k, F.col(f"__{k}")) for k in KINDS]).cast(CANDIDATE).alias("votes")), "candidates")
     counts = rows.filter(F.size("votes") > 0).select(F.explode("votes").alias("v")).groupBy("v.key").count()
-    odds = train([(r[0], r[1]) for r in counts.collect()])  # a row for each combination of votes and looks
+    odds = train([(r[0], r[1]) for r in counts.collect()])  # a row for each combination of votes and looks, whose values are all of short lists
     good = [k for k, s in sorted(odds.items()) if s > threshold]
     base = F.filter("votes", lambda v: v["strict"])
     rows = rows.select("doc_id", base.alias("base"), F.filter("votes", lambda v: ~v["strict"] & v["key"].isin(good)).alias("loose"))

@@ -141,7 +141,7 @@ def votes(kind: str, m: str, before: str) -> tuple:
     size = min(len(m) if kind in ("email", "name") else len(re.sub("[^0-9A-Fa-f]", "", m)), 40)
     size = size // 4 if kind in ("email", "name") else size
     marks = "".join(sorted({c for c in m if not c.isalnum()}))[:4]
-    left = "^" if not before else "a" if before[-1].isalpha() else "9" if before[-1].isnumeric() else "_" if before[-1].isspace() else before[-1]
+    left = "^" if not before else "a" if before[-1].isalpha() else "9" if before[-1].isnumeric() else "_" if before[-1] in " \t\n\x0b\x0c\r" else before[-1] if "!" <= before[-1] <= "~" else "*"
     cued = re.search(rf"\b(?:{CUES[kind]})", before.lower(), re.ASCII)
     return bool(strict), (int(bool(strict or form)), int(bool(listed)), int(bool(cued))), (head, size, marks, left)
 
