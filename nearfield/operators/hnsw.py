@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import np_distance
+from nearfield.operators.knn import near_pairs
 from nearfield.types import DistanceMetric, IndexParams
 
 #: Records of a shard, about. A graph of this size is built in some seconds.
 SHARD = 5_000
 #: Nodes whose distances to all before them are computed at a time.
 BLOCK = 256
+#: Each record's so many nearest are found by a search of this breadth from its own vector, or else get links; in so many rounds at most.
+NEAREST, BREADTH, ROUNDS = 10, 50, 8
 GRAPHS = "shard int, graph binary"
 
 
@@ -60,14 +63,14 @@ class Graph:
         heapq.heapify(best)
         while todo:
             d, n = heapq.heappop(todo)
-            if len(best) >= ef and d > -best[0][0]:
+            if len(best) >= ef and (-d, -n) < best[0]:
                 break
             new = [x for x in self.links[n][layer] if x not in seen] if layer < len(self.links[n]) else []
             if not new:
                 continue
             seen.update(new)
             for e, x in zip(self.far(query, new), new, strict=True):
-                if len(best) < ef or e < -best[0][0]:
+                if len(best) < ef or (-e, -x) > best[0]:
                     heapq.heappush(todo, (e, x))
                     heapq.heappush(best, (-e, -x))
                     if len(best) > ef:
@@ -119,13 +122,64 @@ class Graph:
         if top > self.levels[self.entry]:
             self.entry = node
 
-    def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, str]]:
+    def nodes(self, query: np.ndarray, ef: int) -> list[tuple[float, int]]:
+        """Up to ``ef`` nodes that a search from the top meets, by distance then number."""
         if self.entry < 0:
             return []
         near = list(zip(self.far(query, [self.entry]), [self.entry], strict=True))
         for layer in range(self.levels[self.entry], 0, -1):
             near = self.layer(query, near, 1, layer)[:1]
-        return [(d, self.ids[n]) for d, n in self.layer(query, near, max(ef, k, 1), 0)[:k]]
+        return self.layer(query, near, ef, 0)
+
+    def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, str]]:
+        return [(d, self.ids[n]) for d, n in self.nodes(query, max(ef, k, 1))[:k]]
+
+    def mend(self, most: int) -> None:
+        """Link what searches from the records' own vectors lose.
+
+        Records that are nobody's nearest, such as long vectors among short ones, lose the links back to
+        them to nearer nodes. Each vector's ``NEAREST`` nodes are computed exactly, itself among them; one
+        that a search of breadth ``BREADTH`` doesn't meet gets a link from the nearest node met that has
+        fewer than ``most``, or else in place of that node's longest link, which it takes over. Rounds end
+        once all are met. A broader search meets all that a narrower one does, so then a record is found
+        from its own vector at any breadth of ``BREADTH`` or more.
+        """
+        if not self.ids:
+            return
+        _, own = np.unique(self.vectors.view(np.uint8).reshape(len(self.ids), -1), axis=0, return_index=True)
+        wanted: dict[int, list[int]] = {}
+        for start in range(0, len(own), BLOCK):
+            some = own[start : start + BLOCK]
+            at, row, dist = near_pairs(self.metric, self.vectors, self.vectors[some], NEAREST)
+            order = np.lexsort((row, dist, at))
+            for node, found in zip(some.tolist(), np.split(row[order], np.searchsorted(at[order], np.arange(1, len(some)))), strict=True):
+                wanted[node] = found[:NEAREST].tolist()
+        todo = list(wanted)
+        for _ in range(ROUNDS):
+            lossy = [node for node in todo if self._link_lost(node, wanted[node], most)]
+            if not lossy and len(todo) == len(wanted):
+                break
+            # New links may lead other searches astray, so in the end all are run again.
+            todo = lossy or list(wanted)
+
+    def _link_lost(self, node: int, wanted: list[int], most: int) -> bool:
+        """Whether the search from ``node``'s vector lost any of ``wanted``, which then get links."""
+        met = np.array([n for _, n in self.nodes(self.vectors[node], BREADTH)])
+        lost = [n for n in wanted if n not in met]
+        for n in lost:
+            far = matrix(self.metric, self.vectors[n : n + 1], self.vectors[met])[0]
+            near = [x for x in met[np.lexsort((met, far))].tolist() if n not in self.links[x][0]]
+            free = next((x for x in near if len(self.links[x][0]) < most), None)
+            if free is None and near:
+                free = near[0]
+                held = np.array(self.links[free][0])
+                longest = int(held[matrix(self.metric, self.vectors[free : free + 1], self.vectors[held])[0].argmax()])
+                self.links[free][0].remove(longest)
+                if longest not in self.links[n][0] and longest != n and len(self.links[n][0]) < most:
+                    self.links[n][0].append(longest)
+            if free is not None:
+                self.links[free][0].append(n)
+        return bool(lost)
 
     def dump(self) -> bytes:
         return pickle.dumps((self.ids, self.vectors, self.levels, self.links, self.entry, self.metric.value), protocol=5)
@@ -153,7 +207,8 @@ def build_graph(ids: list[str], vectors: np.ndarray, metric: DistanceMetric, par
     """The graph of records, which are added in ascending order of their ids.
 
     A node's candidates in a layer are its nearest nodes among those before it. They are found
-    exactly, by matrix products of ``BLOCK`` nodes at a time, rather than by searching the graph.
+    exactly, by matrix products of ``BLOCK`` nodes at a time, rather than by searching the graph. Once all
+    are in, what searches lose is linked (see :meth:`Graph.mend`).
     """
     order = sorted(range(len(ids)), key=lambda i: ids[i].encode())
     ids, vectors = [ids[i] for i in order], vectors[order]
@@ -165,6 +220,7 @@ def build_graph(ids: list[str], vectors: np.ndarray, metric: DistanceMetric, par
         near = matrix(metric, vectors[start:end], vectors[:end])
         for node in range(start, end):
             graph.add(node, near[node - start], members, params.m, params.ef_construction)
+    graph.mend(2 * params.m)
     return graph
 
 

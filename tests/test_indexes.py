@@ -38,6 +38,20 @@ def test_hnsw_recall(spark):
     assert recall >= 0.90
 
 
+def shells(n, dim):
+    """Vectors of ten lengths: the long ones are nobody's nearest."""
+    x = np.random.default_rng(3).normal(size=(n, dim))
+    return (x / np.linalg.norm(x, axis=1)[:, None] * (1 + np.arange(n) % 10)[:, None]).astype(np.float32)
+
+
+def test_recall_over_shells():
+    """Records of unlike lengths in two shards, with so few links that long ones lose theirs."""
+    x = shells(1200, 64)
+    graphs = [hnsw.build_graph([f"rec-{k:06d}" for k in range(s, 1200, 2)], x[s::2], L2, IndexParams(m=4)) for s in (0, 1)]
+    found = [{i for _, i in sorted(r for g in graphs for r in g.search(x[k], 10, 50))[:10]} for k in range(0, 1200, 7)]
+    assert np.mean([len(f & set(exact(x, x[k], 10))) / 10 for f, k in zip(found, range(0, 1200, 7), strict=True)]) >= 0.9
+
+
 def test_graph_keeps_its_bounds():
     x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
     g = hnsw.build_graph([f"r{k}" for k in range(400)], x, L2, IndexParams(m=5, ef_construction=40))
