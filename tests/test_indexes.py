@@ -52,6 +52,17 @@ def test_recall_over_shells():
     assert np.mean([len(f & set(exact(x, x[k], 10))) / 10 for f, k in zip(found, range(0, 1200, 7), strict=True)]) >= 0.9
 
 
+def test_records_are_found_from_their_own_vectors():
+    x = shells(1200, 64)
+    for s in (0, 1):
+        g = hnsw.build_graph([f"rec-{k:06d}" for k in range(s, 1200, 2)], x[s::2], L2, IndexParams(m=6, ef_construction=32))
+        assert all(g.search(x[k], 1, ef) == [(0.0, f"rec-{k:06d}")] for k in range(s, 1200, 2) for ef in (50, 200))
+    copies = np.concatenate([shells(300, 16), np.repeat(shells(2, 16), 150, axis=0), np.zeros((60, 16), np.float32)])
+    g = hnsw.build_graph([f"rec-{k:06d}" for k in range(len(copies))], copies, L2, IndexParams())
+    assert all([i for _, i in g.search(q, 10, 50)] == exact(copies, q, 10) for q in copies)
+    assert hnsw.build_graph([], np.zeros((0, 16), np.float32), L2, IndexParams()).search(x[0, :16], 1, 50) == []
+
+
 def test_graph_keeps_its_bounds():
     x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
     g = hnsw.build_graph([f"r{k}" for k in range(400)], x, L2, IndexParams(m=5, ef_construction=40))
