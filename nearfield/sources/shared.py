@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Written without checksum files under a local file system: Hadoop starts a process for the permissions of every file, and for a moment it counts as a second JVM.
+RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -50,7 +53,7 @@ class Scratch:
         """Write ``df`` and read it back."""
         path, fs = self._path(name)
         fs.deleteOnExit(path.getParent())
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        df.write.mode("overwrite").options(**RAW).parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:

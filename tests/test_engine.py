@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 
 import nearfield as nf
 from nearfield.functions.distance import np_distance
+from nearfield.sources.shared import Scratch
 from nearfield.types import DistanceMetric, IndexType
 
 
@@ -187,3 +189,12 @@ def test_stream(spark, engine, tmp_path):
     stream = spark.readStream.schema("id string, vector array<float>").parquet(str(tmp_path / "in" / "k=*"))
     ingest(stream, c, str(tmp_path / "state")).awaitTermination(60)
     assert c.count() == 4
+
+
+def test_scratch_tables_have_no_checksum_files(spark):
+    """Under a local file system each file costs a process of the JVM, so there are none but the tables' own."""
+    scratch = Scratch(spark)
+    table = scratch.table(spark.range(0, 1000, 1, 7), "numbers")
+    files = [p.name for p in Path(scratch.base.removeprefix("file://"), "numbers").iterdir()]
+    assert table.count() == 1000 and sum(f.endswith(".parquet") for f in files) == 7 and not [f for f in files if f.endswith(".crc")]
+    assert scratch.table(spark.range(5), "numbers").count() == 5
