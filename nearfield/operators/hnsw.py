@@ -8,9 +8,10 @@ exactly afterwards, so what a caller sees is recall, not the shape of a graph.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from nearfield.types import DistanceMetric, IndexParams
 SHARD = 5_000
 #: Nodes whose distances to all before them are computed at a time.
 BLOCK = 256
-#: Each record's so many nearest are found by a search of this breadth from its own vector, or else get links; in so many rounds at most.
+#: Each record's so many nearest are found by a search of this breadth from its own vector, or else get links; after so many rounds beyond the bound on a node's links.
 NEAREST, BREADTH, ROUNDS = 10, 50, 8
 GRAPHS = "shard int, graph binary"
 
@@ -54,8 +55,8 @@ class Graph:
     def far(self, query: np.ndarray, nodes: list[int]) -> list[float]:
         return np_distance(self.metric, self.vectors[nodes], query).tolist()
 
-    def layer(self, query: np.ndarray, starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
-        """Best-first search of one layer: up to ``ef`` nodes by distance then number."""
+    def layer(self, far: Callable[[list[int]], list[float]], starts: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
+        """Best-first search of one layer by the distances ``far``: up to ``ef`` nodes by distance then number."""
         seen = {n for _, n in starts}
         todo = list(starts)
         heapq.heapify(todo)
@@ -69,7 +70,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for e, x in zip(self.far(query, new), new, strict=True):
+            for e, x in zip(far(new), new, strict=True):
                 if len(best) < ef or (-e, -x) > best[0]:
                     heapq.heappush(todo, (e, x))
                     heapq.heappush(best, (-e, -x))
@@ -122,17 +123,17 @@ class Graph:
         if top > self.levels[self.entry]:
             self.entry = node
 
-    def nodes(self, query: np.ndarray, ef: int) -> list[tuple[float, int]]:
-        """Up to ``ef`` nodes that a search from the top meets, by distance then number."""
+    def nodes(self, far: Callable[[list[int]], list[float]], ef: int) -> list[tuple[float, int]]:
+        """Up to ``ef`` nodes that a search from the top meets, by their distance ``far`` then number."""
         if self.entry < 0:
             return []
-        near = list(zip(self.far(query, [self.entry]), [self.entry], strict=True))
+        near = list(zip(far([self.entry]), [self.entry], strict=True))
         for layer in range(self.levels[self.entry], 0, -1):
-            near = self.layer(query, near, 1, layer)[:1]
-        return self.layer(query, near, ef, 0)
+            near = self.layer(far, near, 1, layer)[:1]
+        return self.layer(far, near, ef, 0)
 
     def search(self, query: np.ndarray, k: int, ef: int) -> list[tuple[float, str]]:
-        return [(d, self.ids[n]) for d, n in self.nodes(query, max(ef, k, 1))[:k]]
+        return [(d, self.ids[n]) for d, n in self.nodes(lambda nodes: self.far(query, nodes), max(ef, k, 1))[:k]]
 
     def mend(self, most: int) -> None:
         """Link what searches from the records' own vectors lose.
@@ -140,9 +141,10 @@ class Graph:
         Records that are nobody's nearest, such as long vectors among short ones, lose the links back to
         them to nearer nodes. Each vector's ``NEAREST`` nodes are computed exactly, itself among them; one
         that a search of breadth ``BREADTH`` doesn't meet gets a link from the nearest node met that has
-        fewer than ``most``, or else in place of that node's longest link, which it takes over. Rounds end
-        once all are met. A broader search meets all that a narrower one does, so then a record is found
-        from its own vector at any breadth of ``BREADTH`` or more.
+        fewer than ``most``, or else in place of that node's longest link, which it takes over. Links that
+        give way may lose others, so after ``ROUNDS`` rounds none does and a node may get more than ``most``:
+        each round then only adds links, which ends. Rounds end once all are met. A broader search meets all
+        that a narrower one does, so a record is found from its own vector at any breadth of ``BREADTH`` or more.
         """
         if not self.ids:
             return
@@ -155,8 +157,9 @@ class Graph:
             for node, found in zip(some.tolist(), np.split(row[order], np.searchsorted(at[order], np.arange(1, len(some)))), strict=True):
                 wanted[node] = found[:NEAREST].tolist()
         todo = list(wanted)
-        for _ in range(ROUNDS):
-            lossy = [node for node in todo if self._link_lost(node, wanted[node], most)]
+        for turn in itertools.count():
+            bound = most if turn < ROUNDS else len(self.ids)
+            lossy = [node for node in todo if self._link_lost(node, wanted[node], bound)]
             if not lossy and len(todo) == len(wanted):
                 break
             # New links may lead other searches astray, so in the end all are run again.
@@ -164,7 +167,8 @@ class Graph:
 
     def _link_lost(self, node: int, wanted: list[int], most: int) -> bool:
         """Whether the search from ``node``'s vector lost any of ``wanted``, which then get links."""
-        met = np.array([n for _, n in self.nodes(self.vectors[node], BREADTH)])
+        row = np_distance(self.metric, self.vectors, self.vectors[node]).tolist()
+        met = np.array([n for _, n in self.nodes(lambda nodes: [row[n] for n in nodes], BREADTH)])
         lost = [n for n in wanted if n not in met]
         for n in lost:
             far = matrix(self.metric, self.vectors[n : n + 1], self.vectors[met])[0]
@@ -240,8 +244,8 @@ def refresh(graphs: DataFrame, records: DataFrame, changed: DataFrame, metric: D
 
 
 def build(records: DataFrame, metric: DistanceMetric, params: IndexParams, shards: int) -> DataFrame:
-    """``shard, graph`` of all shards. Shards go to partitions by range, so that none gets two while another idles."""
-    dealt = records.select("id", "vector", shard_of(shards).alias("shard")).repartitionByRange(shards, "shard")
+    """``shard, graph`` of all shards. Shards go to partitions by their number, so that none gets two while another idles."""
+    dealt = records.select("id", "vector", shard_of(shards).alias("shard")).repartitionById(shards, F.col("shard"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}

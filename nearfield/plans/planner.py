@@ -10,6 +10,7 @@ from nearfield.functions.distance import distance
 from nearfield.operators import hnsw, ivf
 from nearfield.operators.knn import knn, knn_batch, rerank, top_k
 from nearfield.operators.sizes import broadcast_if_small
+from nearfield.sources.shared import Scratch
 from nearfield.types import DistanceMetric, IndexType
 
 #: Queries of a batch that go to an index together.
@@ -63,7 +64,8 @@ def hnsw_batch(records: DataFrame, graphs: DataFrame, queries: list[tuple], k: i
     """The ``k`` best of the graphs' candidates for each query, by exact distance; short queries are scanned exactly."""
     spark = records.sparkSession
     keys, vectors = [q[0] for q in queries], np.array([q[1] for q in queries], np.float32)
-    found = hnsw.search(graphs, vectors, keys, k, max(ef, k, 1)).dropDuplicates(["query_id", "id"])
+    # Written down, since what follows reads it several times and the graphs would be searched anew each time.
+    found = Scratch(spark).table(hnsw.search(graphs, vectors, keys, k, max(ef, k, 1)).dropDuplicates(["query_id", "id"]), "found")
     asked = spark.createDataFrame([(a, [float(x) for x in b]) for a, b in queries], "query_id string, q array<float>")
     exact = found.select("query_id", "id").join(records.select("id", "vector"), "id").join(broadcast_if_small(asked), "query_id")
     ranked = top_k(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("q")).alias("distance")), k)

@@ -63,6 +63,18 @@ def test_records_are_found_from_their_own_vectors():
     assert hnsw.build_graph([], np.zeros((0, 16), np.float32), L2, IndexParams()).search(x[0, :16], 1, 50) == []
 
 
+def test_records_are_found_however_few_links():
+    """With four links a node, the rounds that keep to that bound leave records lost; the rounds after them don't."""
+    x = shells(300, 64)
+    g = hnsw.build_graph([f"rec-{k:06d}" for k in range(300)], x, L2, IndexParams(m=2, ef_construction=16))
+    assert all(g.search(x[k], 1, ef) == [(0.0, f"rec-{k:06d}")] for k in range(300) for ef in (50, 200))
+
+
+def test_shards_go_to_tasks_of_their_own(spark):
+    graphs = hnsw.build(frame(spark, shells(300, 8)), L2, IndexParams(m=4), 3)
+    assert graphs.groupBy(F.spark_partition_id()).count().count() == graphs.count() == 3
+
+
 def test_graph_keeps_its_bounds():
     x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
     g = hnsw.build_graph([f"r{k}" for k in range(400)], x, L2, IndexParams(m=5, ef_construction=40))
