@@ -166,10 +166,10 @@ class Graph:
             todo = lossy or list(wanted)
 
     def _link_lost(self, node: int, wanted: list[int], most: int) -> bool:
-        """Whether the search from ``node``'s vector lost any of ``wanted``, which then get links."""
+        """Whether the search from ``node``'s vector lost any of ``wanted`` that then got links; of distances that are no numbers it may lose some for good."""
         row = np_distance(self.metric, self.vectors, self.vectors[node]).tolist()
         met = np.array([n for _, n in self.nodes(lambda nodes: [row[n] for n in nodes], BREADTH)])
-        lost = [n for n in wanted if n not in met]
+        lost, linked = [n for n in wanted if n not in met], False
         for n in lost:
             far = matrix(self.metric, self.vectors[n : n + 1], self.vectors[met])[0]
             near = [x for x in met[np.lexsort((met, far))].tolist() if n not in self.links[x][0]]
@@ -183,7 +183,8 @@ class Graph:
                     self.links[n][0].append(longest)
             if free is not None:
                 self.links[free][0].append(n)
-        return bool(lost)
+                linked = True
+        return linked
 
     def dump(self) -> bytes:
         return pickle.dumps((self.ids, self.vectors, self.levels, self.links, self.entry, self.metric.value), protocol=5)

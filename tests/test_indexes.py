@@ -68,6 +68,8 @@ def test_records_are_found_however_few_links():
     x = shells(300, 64)
     g = hnsw.build_graph([f"rec-{k:06d}" for k in range(300)], x, L2, IndexParams(m=2, ef_construction=16))
     assert all(g.search(x[k], 1, ef) == [(0.0, f"rec-{k:06d}")] for k in range(300) for ef in (50, 200))
+    x[::50, 3] = np.nan
+    assert len(hnsw.build_graph([f"rec-{k:06d}" for k in range(300)], x, L2, IndexParams(m=4)).ids) == 300  # ends
 
 
 def test_shards_go_to_tasks_of_their_own(spark):
